@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (and ORACLES).
-MODULES = ("kk_shards",)
+MODULES = ("line_quality", "kk_shards",)
 
 
 def queries() -> dict:
