@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (and ORACLES).
-MODULES = ("line_quality", "language_mix", "kk_shards",)
+MODULES = ("simhash_dedup", "line_quality", "language_mix", "kk_shards",)
 
 
 def queries() -> dict:
