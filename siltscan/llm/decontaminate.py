@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are lower-cased (A-Z) with marks removed. Document frequencies of the benchmark's terms are counted over all
-documents. A distributed randomised SVD of the benchmark's TF-IDF passages (16 words, every 8) gives the
+Words are lower-cased with marks removed. Document frequencies of the benchmark's terms are counted over all
+documents. A distributed randomised SVD of the benchmark's TF-IDF passages (16 words, every 4) gives the
 latent space: tasks add up their share of A'(A Q) over the passages, the driver only orthonormalises a
-(terms x rank) block. Every 16-word window of every document, every 8 words and at the end, is weighed; windows whose
+(terms x rank) block. Every 16-word window of every document, every 4 words and at the end, is weighed; windows whose
 weight is mostly on terms foreign to the benchmark are left (they cannot be near it), the others are
 projected and compared with all passages by cosine. Candidates are verified on the whole item: the longest common
 subsequence with the region around the windows must hold `SIMILARITY` of the item's words within a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siltscan.llm.common import by_bytes, byte_column, table
 
-WIDTH, STRIDE = 16, 8
+WIDTH, STRIDE = 16, 4
 RANK = 96
 OVERSAMPLE = 16
 POWER = 2
@@ -45,7 +45,7 @@ SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return text.lower().translate(None, MARKS).split()
+    return text.decode("utf-8", "replace").lower().encode().translate(None, MARKS).split()
 
 
 def answer_of(text: bytes) -> list[bytes]:
