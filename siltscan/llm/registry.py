@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (and ORACLES).
-MODULES = ("simhash_dedup", "decontaminate", "line_quality", "language_mix", "kk_shards",)
+MODULES = ("piece_codec", "simhash_dedup", "decontaminate", "line_quality", "language_mix", "kk_shards",)
 
 
 def queries() -> dict:
