@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (and ORACLES).
-MODULES = ("suffix_dedup", "piece_codec", "simhash_dedup", "decontaminate", "chat_tree", "line_quality", "toxicity", "language_mix", "kk_shards",)
+MODULES = ("lm_scoring", "suffix_dedup", "piece_codec", "simhash_dedup", "decontaminate", "chat_tree", "line_quality", "toxicity", "language_mix", "kk_shards",)
 
 
 def queries() -> dict:
