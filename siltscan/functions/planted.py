@@ -79,7 +79,8 @@ def samples() -> tuple[tuple[str, int, str], ...]:
 
 
 def quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A Spark literal; dollars are escaped, because the parser replaces ${...}."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
 
 #: Endings of the planted paths, by id: extensions and directories that location rules look at.
@@ -87,8 +88,8 @@ FOLDERS = ("app", "vendor/lib", "tests", "wp-content/plugins/revslider", "docs")
 ENDINGS = (".php", ".html", ".js", ".htaccess", ".sql", ".txt", "")
 
 
-def planted_sql(spark: bool) -> str:
-    """SELECT of doc_id, path, text over documents. Only the way of quoting differs between the engines."""
+def planted_columns(spark: bool) -> dict[str, str]:
+    """SQL expressions of path and text over documents. Only the way of quoting differs between the engines."""
 
     def q(text: str) -> str:
         text = text.replace("\x00", "")
@@ -96,10 +97,16 @@ def planted_sql(spark: bool) -> str:
 
     some = samples()
     whens = " ".join(f"WHEN {i} THEN {q(chr(10) + '<?php ' + text + ' ?>' + chr(10))}" for i, (_, _, text) in enumerate(some))
-    n = len(some) + 7
     folder = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FOLDERS))
     ending = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ENDINGS))
-    return (
-        f"SELECT doc_id, concat('/srv/', source, '/', CASE doc_id % {len(FOLDERS)} {folder} END, '/f', CAST(doc_id AS STRING), CASE doc_id % {len(ENDINGS)} {ending} END) AS path, "
-        f"concat(CASE doc_id % {n} {whens} ELSE '<?php eval(base64_encode($x)); // near miss' END, coalesce(text, '')) AS text, source, lang, n_chars FROM documents"
-    ).replace("AS STRING", "AS STRING" if spark else "AS VARCHAR")
+    kind = "STRING" if spark else "VARCHAR"
+    return {
+        "path": f"concat('/srv/', source, '/', CASE doc_id % {len(FOLDERS)} {folder} END, '/f', CAST(doc_id AS {kind}), CASE doc_id % {len(ENDINGS)} {ending} END)",
+        "text": f"concat(CASE doc_id % {len(some) + 7} {whens} ELSE '<?php eval(base64_encode($x)); // near miss' END, coalesce(text, ''))",
+    }
+
+
+def planted_sql() -> str:
+    """SELECT of doc_id, path, text and the other columns of documents."""
+    c = planted_columns(False)
+    return f"SELECT doc_id, {c['path']} AS path, {c['text']} AS text, source, lang, n_chars FROM documents"

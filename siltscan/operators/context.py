@@ -311,6 +311,6 @@ def folders_column(cond: Folders, path: Column) -> Column:
     parts = F.split(F.lower(path), "/")
     dirs = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     hit = F.exists(dirs, lambda d: d.isin(*cond.named) if cond.named else F.lit(False))
-    for fragment in cond.holding:
-        hit = hit | F.exists(dirs, lambda d, fragment=fragment: d.contains(fragment))
+    if cond.holding:
+        hit = hit | F.exists(dirs, lambda d: d.rlike("|".join(map(re.escape, cond.holding))))
     return ~hit

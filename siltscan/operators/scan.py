@@ -64,7 +64,7 @@ class Plan:
 
     def matches(self, text: str) -> Iterator[tuple[str, int, int, int]]:
         """(rule, order, start, end) in the order of rules, expressions and places."""
-        held = {x for _, x in self.automaton.iter(text.lower())}
+        held = {x for _, x in self.automaton.iter(text.lower())} if self.rules else set()
         order = 0
         for code, patterns, gates in self.rules:
             if not any(all(gate & held for gate in g) for g in gates):
