@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltscan.operators import htaccess
+
 
 @dataclass(frozen=True)
 class Finding:
@@ -38,6 +40,9 @@ def extension(path: str) -> str:
     return m[0] if m else ""
 
 
+Condition = Callable[[Finding], bool]
+
+
 @dataclass(frozen=True)
 class Near:
     """One of `words` lies in the characters from `before` ahead of the match to `after` past its start (or, not `wanted`, none does)."""
@@ -181,6 +186,11 @@ def plain_control_bytes(f: Finding) -> bool:
     return "Generated by the protocol buffer compiler" not in head and "namespace GPBMetadata" not in head
 
 
+def runs(kind: str) -> Condition:
+    """The directive of an .htaccess file runs what is `kind`."""
+    return lambda f: htaccess.is_access_file(re.split(r"[/\\\\]", f.path)[-1]) and htaccess.executed_class(f.text, f.start) == kind
+
+
 def keylogger(f: Finding) -> bool:
     after = f.text[f.start : f.start + 500]
     if any(w in after for w in KEYLOG):
@@ -257,7 +267,6 @@ MARKERS = (
     "// @ts-ignore", "// eslint-disable", "/* eslint-disable",
 )
 
-Condition = Callable[[Finding], bool]
 VENDOR = ("vendor", "vendor-prefixed")
 CONDITIONS: dict[str, tuple[Condition, ...]] = {
     "RCE009": (never,),
@@ -270,6 +279,8 @@ CONDITIONS: dict[str, tuple[Condition, ...]] = {
     "SEO008": (script_or_bare,),
     "DEFC002": (Near(400, 400, GUARDS, wanted=False), Near(0, 400, EMPTY_WRITES, wanted=False)),
     "BD008": (Near(400, 400, DIRECTIVES),),
+    "BD019": (runs("data"),),
+    "BD020": (runs("document"),),
     "BD013": (not_in_comment, Folders(("tests", "test", "testdata", "fixtures", "fixture", ".ssh"))),
     "CRED004": (keylogger,),
     "BD005": (Line(SOCKET_CLIENTS),),

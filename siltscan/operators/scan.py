@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from siltscan.functions.dialect import to_java, to_python
 from siltscan.functions.signatures import RULES, SEVERITIES
 from siltscan.operators import context
-from siltscan.operators.analyzers import ANALYZERS, analyze
+from siltscan.operators.analyzers import ANALYZERS, FOLDED, analyze
 
 FINDINGS = (
     "path string, rule_code string, rule_name string, category string, severity string, original_severity string, pattern_type string, "
@@ -60,7 +60,7 @@ class Plan:
         for x in literals:
             self.automaton.add_word(x, x)
         self.automaton.make_automaton()
-        self.analyzers = [c for c in ANALYZERS if c in codes]
+        self.analyzers = [c for c in (*FOLDED, *ANALYZERS) if c in codes]
 
     def matches(self, text: str) -> Iterator[tuple[str, int, int, int]]:
         """(rule, order, start, end) in the order of rules, expressions and places."""
@@ -114,7 +114,7 @@ def scan_text(p: Plan, path: str, text: str, filters: bool = True, trust: bool =
         offset, col = (a, a - begin) if ascii_only else (len(text[:a].encode()), len(text[begin:a].encode()))
         name, severity = BY_CODE[code]
         marked = trust and annotated(found)
-        yield path, code, name, category(code), "low" if marked else severity, severity, "analyzer" if code in ANALYZERS else "regex", order, offset, line + 1, col + 1, found.matched[:200], excerpt(text, a), marked
+        yield path, code, name, category(code), "low" if marked else severity, severity, "analyzer" if code in ANALYZERS or code in FOLDED else "regex", order, offset, line + 1, col + 1, found.matched[:200], excerpt(text, a), marked
 
 
 def findings(files: DataFrame, path: str = "path", text: str = "text", *, use: tuple[str, ...] = (), disable: tuple[str, ...] = (), filters: bool = True, trust: bool = False) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siltscan.functions.planted import planted_columns, planted_sql
 from siltscan.functions.signatures import RULES
-from siltscan.operators import analyzers, context, corpus, names, rollup, scan
-from siltscan.sources import selection
+from siltscan.operators import analyzers, context, corpus, decode, folding, names, reports, rollup, scan
+from siltscan.sources import archives, selection, yaml_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -490,6 +490,108 @@ def analyzer_findings(spark, sf_dir):
     return scan.findings(files, use=tuple(analyzers.ANALYZERS)).select("path", "rule_code", "offset", "line", "severity")
 
 
+
+OWN_RULES = """
+rules:
+  - {name: said_the, severity: low, category: prose, patterns: [{type: string, value: " the "}]}
+  - {name: url_or_mail, severity: high, category: net, patterns: [{type: regex, value: '[a-z]+@[a-z]+\\.[a-z]+', flags: i}, {type: hex, value: "00"}]}
+  - {name: broken, patterns: [{type: regex, value: "(("}]}
+"""
+
+
+@query(
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT 'said_the' AS rule_name, 'low' AS severity, doc_id FROM l WHERE contains(line, ' the ') "
+    "UNION ALL SELECT 'url_or_mail', 'high', doc_id FROM l WHERE regexp_matches(line, '[a-z]+@[a-z]+\\.[a-z]+', 'i')) SELECT rule_name, severity, count(*) AS hits, count(DISTINCT doc_id) AS files FROM f GROUP BY 1, 2"
+)
+def yaml_rule_hits(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    found = yaml_rules.run_rules(d, yaml_rules.load_rules(OWN_RULES))
+    return found.groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("path").alias("files"))
+
+
+HARVEST_TEXT = "CASE doc_id % 4 WHEN 0 THEN concat('<form><input type=\"password\">', coalesce(text, '')) WHEN 1 THEN concat(coalesce(text, ''), '$_POST[x]; mail ($a)') WHEN 2 THEN concat('<FORM>', coalesce(text, ''), '$_POST') ELSE coalesce(text, '') END"
+HARVEST_SQL = " + ".join(f"CASE WHEN regexp_matches(t, {_q(r)}) THEN {w} ELSE 0 END" for w, r in yaml_rules.HARVEST)
+
+
+@query(f"WITH d AS (SELECT doc_id, {HARVEST_TEXT} AS t FROM documents), s AS (SELECT doc_id, {HARVEST_SQL} AS score FROM d) SELECT CAST(score AS INT) AS score, score >= 4 AS flagged, count(*) AS n FROM s GROUP BY 1, 2")
+def credential_harvester_score(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{HARVEST_TEXT} AS t")
+    score = sum((F.when(F.col("t").rlike(scan.to_java(r, dotall=False) if not r.startswith("(?i)") else scan.to_java(r[4:], True, False)), w).otherwise(0) for w, r in yaml_rules.HARVEST), F.lit(0))
+    return d.select(score.alias("score")).groupBy("score", (F.col("score") >= yaml_rules.HARVEST_LEAST).alias("flagged")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def yaml_heuristics(spark, sf_dir):
+    """Every heuristic over planted texts."""
+    rules = [yaml_rules.Rule(n, patterns=(yaml_rules.Pattern("heuristic", n, least=1),)) for n in yaml_rules.HEURISTICS]
+    return yaml_rules.run_rules(planted(spark, sf_dir), rules).select("path", "rule_name", "line", "offset")
+
+
+MARKED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('// noqa', chr(10), 'eval($_POST[1]);') WHEN 1 THEN 'eval($_POST[1]); // NOSONAR' WHEN 2 THEN concat('// noqa', chr(10), chr(10), 'eval($_POST[1]);') ELSE 'eval($_POST[1]);' END AS text FROM documents"
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'low' ELSE 'critical' END AS severity, doc_id % 4 IN (0, 1) AS suppressed FROM documents")
+def annotation_downgrade(spark, sf_dir):
+    e = MARKED.removeprefix("SELECT doc_id, ").removesuffix(" AS text FROM documents").replace("$", "\\u0024")
+    d = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS STRING) AS path", f"{e} AS text")
+    found = scan.findings(d, use=("RCE004",), trust=True)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "severity", "suppressed").distinct()
+
+
+@query()
+def assembled_identifiers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("concat('/srv/f', doc_id, '.php') AS path", "concat(coalesce(text, ''), '\\n\\u0024a = \"ev\" . \"al\"; \\u0024b = strrev(\"metsys\"); \\u0024a(\\u0024b);') AS text")
+    return folding.assembled_strings(d).select("path", "offset", "variable", "value", "pieces", "sensitive", "called")
+
+
+@query()
+def decode_layers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("/srv/f"), F.col("doc_id")).alias("path"), F.concat(F.lit("eval('"), F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 300), "UTF-8")), r"[\r\n]", ""), F.lit("');")).alias("text"))
+    return decode.decode_layers(d)
+
+
+@query()
+def archive_members(spark, sf_dir):
+    """Members of planted zip containers, ten documents each."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(key: tuple, tbl: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, t in sorted(zip(tbl.column("doc_id").to_pylist(), tbl.column("text").to_pylist(), strict=True)):
+                z.writestr(f"uploads/{i}.php" if i % 2 else f"src/{i}.bin", t or "")
+        return pa.table({"path": pa.array([f"/srv/{key[0].as_py()}.zip"]), "content": pa.array([out.getvalue()], pa.binary())})
+
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") / 10).cast("long").alias("box"), "doc_id", "text")
+    boxes = d.groupBy("box").applyInArrow(pack, "path string, content binary")
+    return archives.explode_containers(boxes).select("container", "member", "idx", "size", "skip_reason", "depth")
+
+
+@query()
+def csv_report(spark, sf_dir):
+    files = _selected(spark, sf_dir)
+    found = scan.findings(files.where("skip_reason is null"))
+    verdicts = rollup.file_verdicts(files.select("path", "skip_reason"), found)
+    return reports.csv_rows(verdicts, found, rollup.quarantine_plan(verdicts, "/quarantine"))
+
+
+@query()
+def json_report(spark, sf_dir):
+    files = _selected(spark, sf_dir)
+    found = scan.findings(files.where("skip_reason is null"))
+    return reports.json_records(rollup.file_verdicts(files.select("path", "skip_reason"), found), found)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_windowed(spark, sf_dir):
+    """The windowed extension, over the table as a batch."""
+    w = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
