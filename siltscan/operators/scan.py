@@ -100,8 +100,8 @@ def annotated(finding: context.Finding) -> bool:
     return any(m in around for m in context.MARKERS)
 
 
-def scan_text(p: Plan, path: str, text: str, filters: bool = True, trust: bool = False) -> Iterator[tuple]:
-    ascii_only = text.isascii()
+def scan_text(p: Plan, path: str, text: str, filters: bool = True, trust: bool = False, raw: bool = False) -> Iterator[tuple]:
+    ascii_only = raw or text.isascii()  # a raw text has one character per byte
     lines: list[int] | None = None
     for code, order, a, b in p.matches(text):
         found = context.Finding(path, text, a, text[a:b])
@@ -130,7 +130,7 @@ def findings(files: DataFrame, path: str = "path", text: str = "text", *, use: t
             for own, t in zip(batch.column(0), batch.column(1), strict=True):
                 t = t.as_py()
                 if t:
-                    rows += scan_text(p, own.as_py() or "", t.decode("latin-1") if raw else t, filters, trust)
+                    rows += scan_text(p, own.as_py() or "", t.decode("latin-1") if raw else t, filters, trust, raw)
                 if len(rows) >= 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=names)
                     rows = []
