@@ -29,6 +29,8 @@ LEAST_DF = 5
 #: Labelled documents the network is fitted on, at most: toxic and clean (lowest xxhash64 of the id first).
 FIT_TOXIC, FIT_CLEAN = 1500, 2500
 EPOCHS, BATCH, RATE = 8, 128, 0.01
+#: Small samples are gone through more often, to this many steps.
+LEAST_STEPS = 500
 DECAY = 1e-4
 EMPTY = 0.01
 CUT = 0.7
@@ -219,8 +221,11 @@ def fit(toxic: list[bytes], clean: list[bytes], seed: int = 5) -> Network | None
     m = {k: np.zeros_like(x) for k, x in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
-        if epoch >= 3:
+    each = 2 * len(toxic) + 3 * len(clean)  # windows of an epoch, about
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // each))
+    for epoch in range(epochs):
+        done = epoch / epochs
+        if done >= 0.375:
             own = np.matmul(net.inputs(words)[0], net.p["x"]) + net.p["bias"]
             value = np.concatenate([net.forward(own, index[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(index), 4096)])
         order = np.lexsort((value, doc))
@@ -238,7 +243,7 @@ def fit(toxic: list[bytes], clean: list[bytes], seed: int = 5) -> Network | None
                 g = g + np.float32(DECAY) * net.p[k]
                 m[k] += np.float32(0.1) * (g - m[k])
                 v[k] += np.float32(0.01) * (g * g - v[k])
-                net.p[k] -= np.float32(RATE / (1 + 0.1 * epoch)) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+                net.p[k] -= np.float32(RATE / (1 + 0.8 * done)) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
     logit, doc, _, _ = net.texts(texts)
     own, first = np.unique(doc, return_index=True)
     top = np.maximum.reduceat(logit.astype(np.float64), first)
