@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltscan.functions.planted import planted_columns, planted_sql
 from siltscan.functions.signatures import RULES
-from siltscan.operators import analyzers, context, corpus, decode, folding, names, reports, rollup, scan
+from siltscan.operators import analyzers, context, corpus, decode, folding, gates, names, reports, rollup, scan
 from siltscan.sources import archives, selection, yaml_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,6 +592,87 @@ def events_windowed(spark, sf_dir):
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+
+@query("SELECT source AS family, count(*) AS members, count(*) FILTER (WHERE ok) AS runnable, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN 'none' WHEN count(*) FILTER (WHERE ok) < 3 THEN 'weak' ELSE 'enough' END AS power FROM (SELECT source, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 17 = 0) AS ok FROM documents) GROUP BY 1")
+def family_rerun_power(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("family"), F.sha2("text", 256).alias("sha256"))
+    return gates.rerun_power(d.select("family", "sha256"), d.where("doc_id % 17 = 0").select("sha256"))
+
+
+@query("SELECT source, CAST(sum(files_total) AS BIGINT) AS files_total, CAST(sum(files_total - size_skipped - unreadable) AS BIGINT) AS files_read, CAST(sum(hits) AS BIGINT) AS hits, round(CASE WHEN sum(files_total - size_skipped - unreadable) > 0 THEN 100.0::DOUBLE * sum(hits) / sum(files_total - size_skipped - unreadable) END, 6) AS rate_pct FROM (SELECT source, doc_id % 50 AS files_total, doc_id % 3 AS size_skipped, doc_id % 2 AS unreadable, doc_id % 5 AS hits FROM documents) GROUP BY 1")
+def coverage_denominators(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("source", "doc_id % 50 AS files_total", "doc_id % 3 AS size_skipped", "doc_id % 2 AS unreadable", "doc_id % 5 AS hits")
+    return gates.coverage(d)
+
+
+@query(
+    "WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'zz' ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE n_chars END AS size, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS family, CASE WHEN doc_id % 2 = 0 THEN 'malicious' ELSE 'benign' END AS verdict, doc_id % 13 = 0 AS c2 FROM documents) "
+    "SELECT id, 'digest_form' AS violation FROM r WHERE NOT regexp_full_match(sha256, '[0-9a-f]{64}') UNION ALL SELECT id, 'size_negative' FROM r WHERE size < 0 UNION ALL SELECT id, 'family_missing' FROM r WHERE verdict = 'malicious' AND family IS NULL UNION ALL SELECT id, 'benign_with_c2' FROM r WHERE verdict = 'benign' AND c2"
+)
+def index_invariants(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "zz").otherwise(F.sha2("text", 256)).alias("sha256"), F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("n_chars")).alias("size"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("family"), F.when(F.col("doc_id") % 2 == 0, "malicious").otherwise("benign").alias("verdict"),
+        F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("c2"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    return gates.invariants(rows)
+
+
+@query("WITH p AS (SELECT source AS folder, count(*) AS files, count(*) FILTER (WHERE toxic IS NULL) AS open, count(*) FILTER (WHERE quality = 0) AS detected FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1) SELECT *, CASE WHEN open = 0 THEN 'done' WHEN detected = files THEN 'confirm' WHEN detected > 0 THEN 'mixed' ELSE 'review' END AS lane FROM p")
+def queue_lanes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return gates.queue_lanes(d.select(F.col("source").alias("folder"), F.col("toxic").alias("verdict"), (F.col("quality") == 0).alias("detected")))
+
+
+@query("WITH a AS (SELECT lang AS name, count(*) AS actual FROM documents GROUP BY 1), b AS (SELECT lang AS name, count(*) FILTER (WHERE lang <> 'fr' OR doc_id % 2 = 0) AS stated FROM documents WHERE lang <> 'es' GROUP BY 1) SELECT name, actual, stated FROM a FULL JOIN b USING (name) WHERE actual IS DISTINCT FROM stated")
+def figure_drift(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    told = d.where("lang <> 'es'").groupBy(F.col("lang").alias("name")).agg(F.count_if(F.expr("lang <> 'fr' or doc_id % 2 = 0")).alias("value"))
+    return gates.drift(d.groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("value")), told)
+
+
+@query("SELECT family, count(*) AS members, count(DISTINCT rules) AS rulesets, count(DISTINCT rules) = 1 AS determined FROM (SELECT source AS family, doc_id, CASE WHEN source < 'src15' THEN 'A+B' || CAST(doc_id % 3 AS VARCHAR) ELSE 'A+C' END AS rules FROM documents) GROUP BY 1")
+def ruleset_dispersion(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    second = F.when(F.col("source") < "src15", F.concat(F.lit("B"), (F.col("doc_id") % 3).cast("string"))).otherwise("C")
+    return gates.dispersion(d.select(F.col("source").alias("family"), F.col("doc_id").alias("id"), F.explode(F.array(F.lit("A"), second)).alias("rule")))
+
+
+@query("SELECT coalesce(t.doc_id, g.doc_id) AS id, 'identity' AS kind, CASE WHEN g.doc_id IS NULL THEN 'tag_only' WHEN t.doc_id IS NULL THEN 'gate_only' ELSE 'both' END AS seen_by FROM (SELECT doc_id FROM documents WHERE regexp_matches(text, '" + corpus.EMAIL + "')) t FULL JOIN (SELECT doc_id FROM documents WHERE contains(text, '@')) g ON t.doc_id = g.doc_id")
+def tag_gate_reconciliation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("identity").alias("kind"))
+    return gates.shape_reconciliation(d.where(F.col("text").rlike(corpus.EMAIL)).select("id", "kind"), d.where(F.col("text").contains("@")).select("id", "kind"))
+
+
+@query("SELECT lang, source FROM documents WHERE doc_id % 3 = 0 EXCEPT ALL SELECT lang, source FROM documents WHERE doc_id % 6 = 0")
+def additive_only_violations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return gates.additive_only(d.where("doc_id % 3 = 0").select("lang", "source"), d.where("doc_id % 6 = 0").select("lang", "source"))
+
+
+@query("SELECT doc_id, (doc_id % 3)::VARCHAR || '.' || (doc_id % 12)::VARCHAR || CASE WHEN doc_id % 5 = 0 THEN '-rc1' ELSE '' END AS version, lpad((doc_id % 3)::VARCHAR, 8, '0') || '.' || lpad((doc_id % 12)::VARCHAR, 8, '0') || '.00000000' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '~' END AS place FROM documents")
+def version_order(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(doc_id % 3, '.', doc_id % 12, CASE WHEN doc_id % 5 = 0 THEN '-rc1' ELSE '' END) AS version")
+    return v.withColumn("place", gates.version_key(F.col("version")))
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT user_id AS run, event_id AS at, value AS done, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), p AS (SELECT b.run, b.n, (b.done - a.done) / (b.at - a.at) AS rate FROM s a JOIN s b ON a.run = b.run AND b.n = a.n + 1), "
+    "e AS (SELECT run, n, rate AS ema FROM p WHERE n = 2 UNION ALL SELECT p.run, p.n, 0.25::DOUBLE * p.rate + 0.75::DOUBLE * e.ema FROM e JOIN p ON p.run = e.run AND p.n = e.n + 1) SELECT run, round(ema, 6) AS rate FROM e QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1"
+)
+def progress_rates(spark, sf_dir):
+    return gates.smoothed_rates(table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), F.col("value").alias("done")))
+
+
+@query("SELECT source, count(*) AS documents, CAST(sum(n) AS BIGINT) AS control_bytes, count(*) FILTER (WHERE n > 0) AS with_control FROM (SELECT source, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]', '', 'g')) AS n FROM (SELECT source, CASE WHEN doc_id % 4 = 0 THEN text || chr(1) || chr(2) || chr(11) ELSE text END AS text FROM documents)) GROUP BY 1")
+def control_density(spark, sf_dir):
+    """The counts behind OBF036, as native columns."""
+    t = F.coalesce(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\x01\x02\x0b"))).otherwise(F.col("text")), F.lit(""))
+    n = F.length(t) - F.length(F.regexp_replace(t, r"[\x00-\x08\x0b\x0e-\x1f\x7f]", ""))
+    return table(spark, sf_dir, "documents").select("source", n.alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").cast("long").alias("control_bytes"), F.count_if(F.col("n") > 0).alias("with_control"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
