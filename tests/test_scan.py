@@ -96,6 +96,15 @@ def test_access_files():
     ("PHI009", "$_POST['a']; mail($t); 'a@b.com'", "$_POST['a']; mail($t);"),
     ("WS011", "class PHPMailer {} $password = 'secret1';", "class PHPMailer {} $password = 'a';"),
     ("DEFC007", "document.onkeydown = f; function f() { alert(1) }", "document.onkeydown = f; function g() { alert(1) }"),
+    ("WS010", "if (!isset($_GET['k'])) { header('HTTP/1.0 404 Not Found'); die; }", "if (!isset($x)) { header('HTTP/1.0 404 Not Found'); die; }"),
+    ("WS010", "if (!isset($_GET['k'])) header('HTTP/1.0 404'); exit;", "if (isset($_GET['k'])) header('HTTP/1.0 404'); exit;"),
+    ("RCE015", "file_put_contents($f, $x); include $f; unlink($f);", "file_put_contents($f, $x); include $f; unlink($g);"),
+    ("RCE015", "file_put_contents($f, $x); require_once($f); unlink( $f );", "file_put_contents($f, $x); include $f;" + " " * 500 + "unlink($f);"),
+    ("OBF038", "/*q1-Z7;x#@9*/" * 10, "/* plain words */" * 20),
+    ("OBF039", "$p = strpos($k, $s[$i]); $o .= $t[$p]; $k = " + ".".join(["'ab'"] * 6) + ";", "$p = strpos($k, $s[$i]); $o .= $t[$p];"),
+    ("OBF040", "$u = 'ht' . 'tp://x.y';", "$u = 'http' . '://x.y';"),
+    ("SEO008", "HTTP_USER_AGENT googlebot bingbot slurp file_get_contents('http://x'); echo", "HTTP_USER_AGENT googlebot bingbot file_get_contents('http://x'); echo"),
+    ("OBF025", "$a = 'ev' . 'al';", "$a = 'ev' . 'en';"),
     ("OBF024", "$a = 'ev'.'a'.'l'; $a($x);", "$a = 'eval';"),
 ])
 def test_analyzers(code, hit, miss):
