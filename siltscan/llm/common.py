@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=8)
+def _own_dir(app: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='siltscan-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='siltscan-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one temporary folder per application."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
@@ -42,10 +44,6 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
-def held_out_py(doc_id: int, modulus: int, remainder: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % modulus == remainder
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z only) words of a UTF-8 text. bytes.lower() leaves non-ASCII bytes alone."""
     return text.lower().split()
@@ -74,7 +72,3 @@ def by_bytes(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterato
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
