@@ -40,7 +40,7 @@ SIMILARITY, ANSWER, SPAN = 0.8, 0.6, 1.6
 LEAST_WORDS = 8
 #: Items of a block; a block's terms and passages are what a task holds.
 BLOCK_ITEMS = 10_000
-MARKS = b".,;:!?\"'()[]"
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SENTENCE = re.compile(rb"(?<=[.!?])\s+")
 
 
