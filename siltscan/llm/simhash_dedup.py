@@ -1,11 +1,11 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Fingerprints are made distinct first, so copies cost nothing. Links of up to three differing bits are found
-exactly: the 64 bits are cut into five blocks, of which two must be equal for such a pair, so each distinct
-fingerprint is put in ten tables keyed by two blocks. Inside a table's bucket a pivot table holds the
-Hamming distances to reference fingerprints; pairs whose distances to any pivot differ by more than three
+Fingerprints are made distinct first, so copies cost nothing. Links of up to `distance` (three) differing bits
+are found exactly: the 64 bits are cut into distance + 2 blocks, of which two must be equal for such a pair, so each distinct
+fingerprint is put in a table for every two blocks (ten). Inside a table's bucket a pivot table holds the
+Hamming distances to reference fingerprints; pairs whose distances to any pivot differ by more than that
 are discarded (triangle inequality), the survivors are verified bit by bit. A bucket passes on a spanning forest of its
-links, never all pairs. A bucket beyond `BUCKET` fingerprints is dealt anew by three of six blocks
+links, never all pairs. A bucket beyond `BUCKET` fingerprints is dealt anew by three of distance + 3 blocks
 of the bits that are still free, which finds the same links. Components come from star contractions.
 
 Laws for odd input: a null, empty or blank text has fingerprint zero and links like any other; below `shingle`
@@ -71,8 +71,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-FIRST = _masks(list(range(64)), 5, 2)
-SECOND = [_masks([i for i in range(64) if not m >> i & 1], 6, 3) for m in FIRST]
+def masks(distance: int) -> tuple[list[int], list[list[int]]]:
+    """Table keys for a distance: two of distance + 2 blocks of all bits; then, for each, three of distance + 3 blocks of the bits left free. Pairs within the distance agree on one of each."""
+    first = _masks(list(range(64)), distance + 2, 2)
+    return first, [_masks([i for i in range(64) if not m >> i & 1], distance + 3, 3) for m in first]
 
 
 def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -155,8 +157,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> It
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(fp) distinct -> (a, b): links that span all components of fingerprints within `distance` <= 3 bits."""
+    """(fp) distinct -> (a, b): links that span all components of fingerprints within `distance` bits."""
     pivots = references()
+    first, second = masks(distance)
 
     def keyed(fp: Column, masks: list[int]) -> Column:
         return F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("t"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
@@ -177,16 +180,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
                 x = fp[over].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(cols[1][over]), pa.array(cols[0][over].astype(np.int32))], names=["a", "b", "t"])
 
-    put = fps.select("fp", keyed(F.col("fp"), FIRST).alias("k")).select("fp", "k.t", "k.key").repartition("t", "key").sortWithinPartitions("t", "key")
+    put = fps.select("fp", keyed(F.col("fp"), first).alias("k")).select("fp", "k.t", "k.key").repartition("t", "key").sortWithinPartitions("t", "key")
     found = materialise(put.mapInArrow(lambda it: compare(it, bucket), "a long, b long, t int"))
     over = found.where("t >= 0")
-    again = None
-    for t, masks in enumerate(SECOND):
-        part = over.where(F.col("t") == t).select(F.col("t"), F.col("b").alias("first"), F.col("a").alias("fp"), keyed(F.col("a"), masks).alias("k"))
-        part = part.select("t", F.col("k.t").alias("t2"), F.col("k.key").bitwiseOR(F.col("first")).alias("key"), "fp")
-        again = part if again is None else again.unionByName(part)
     out = found.where("t < 0").select("a", "b")
     if not over.isEmpty():
+        again = None
+        for t, keys in enumerate(second):
+            part = over.where(F.col("t") == t).select(F.col("t"), F.col("b").alias("first"), F.col("a").alias("fp"), keyed(F.col("a"), keys).alias("k"))
+            part = part.select("t", F.col("k.t").alias("t2"), F.col("k.key").bitwiseOR(F.col("first")).alias("key"), "fp")
+            again = part if again is None else again.unionByName(part)
         more = again.repartition("t", "t2", "key").sortWithinPartitions("t", "t2", "key").mapInArrow(lambda it: compare(it, None), "a long, b long, t int")
         out = out.unionByName(more.select("a", "b"))
     return out

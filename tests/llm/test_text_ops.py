@@ -94,7 +94,7 @@ def brute_print(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(prints):
+def brute_components(prints, distance=3):
     ids = list(prints)
     up = {i: i for i in ids}
 
@@ -105,7 +105,7 @@ def brute_components(prints):
 
     for a in ids:
         for b in ids:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
     return {i: root(i) for i in ids}
@@ -127,10 +127,10 @@ def test_simhash_links_of_crowded_buckets(spark):
             f ^= 1 << int(r.integers(0, 63)) | 1 << int(r.integers(0, 63))
             fps.append(f)
     fps = sorted(set(fps))
-    want = brute_components({f: f for f in fps})
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for bucket in (20_000, 2):
-        roots = {x.node: x.root for x in components.components(simhash_dedup.links(frame, bucket=bucket)).collect()}
+    for distance, bucket in ((3, 20_000), (3, 2), (7, 20_000)):
+        want = brute_components({f: f for f in fps}, distance)
+        roots = {x.node: x.root for x in components.components(simhash_dedup.links(frame, distance, bucket)).collect()}
         assert all(roots.get(f, f) == want[f] for f in fps)
 
 
