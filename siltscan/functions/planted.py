@@ -1,7 +1,7 @@
 """Example strings of the rules' expressions, and tables that carry them.
 
-The driver's tables hold prose, in which no rule fires. `documents` is therefore planted: one CASE over the id, the same text in
-Spark and in other SQL engines, appends a string that an expression matches (made from its syntax tree), or a near miss.
+The driver's tables hold prose, in which no rule fires. `documents` is therefore planted: one list of texts indexed by the id, the same in
+Spark and in other SQL engines, puts a string that an expression matches (made from its syntax tree), or a near miss, before each text.
 """
 
 from __future__ import annotations
@@ -95,14 +95,16 @@ def planted_columns(spark: bool) -> dict[str, str]:
         text = text.replace("\x00", "")
         return quoted(text) if spark else "'" + text.replace("'", "''") + "'"
 
-    some = samples()
-    whens = " ".join(f"WHEN {i} THEN {q(chr(10) + '<?php ' + text + ' ?>' + chr(10))}" for i, (_, _, text) in enumerate(some))
+    texts = [f"\n<?php {text} ?>\n" for _, _, text in samples()] + ["<?php eval(base64_encode($x)); // near miss"] * 7
+    items = ", ".join(map(q, texts))
+    # one literal array: a CASE of so many branches would be compiled into every use
+    pick = f"element_at(array({items}), CAST(doc_id % {len(texts)} AS INT) + 1)" if spark else f"list_extract([{items}], CAST(doc_id % {len(texts)} AS INT) + 1)"
     folder = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FOLDERS))
     ending = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ENDINGS))
     kind = "STRING" if spark else "VARCHAR"
     return {
         "path": f"concat('/srv/', source, '/', CASE doc_id % {len(FOLDERS)} {folder} END, '/f', CAST(doc_id AS {kind}), CASE doc_id % {len(ENDINGS)} {ending} END)",
-        "text": f"concat(CASE doc_id % {len(some) + 7} {whens} ELSE '<?php eval(base64_encode($x)); // near miss' END, coalesce(text, ''))",
+        "text": f"concat({pick}, coalesce(text, ''))",
     }
 
 
