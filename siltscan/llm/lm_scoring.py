@@ -35,13 +35,24 @@ HEAD = CLASSES * SIZE
 KNOWN = 1 << 17
 CLASS_ROWS, TOKEN_ROWS = 1 << 13, 1 << 14
 BLOCK = 256
-FLUSH = 200_000
+FLUSH = 400_000
 BATCH = 8192
 RATE = 0.15
 UNSEEN, BEGIN = 2 * HEAD, 2 * HEAD + 1
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
+def hashed(x: np.ndarray, j: int) -> np.ndarray:
+    """Hash of feature j's value."""
+    x = (x + np.uint64(1)) * MULTIPLIERS[j]
+    x ^= x >> np.uint64(31)
+    return x * MULTIPLIERS[3 - j]
+
+
+#: Hashes of the features of one word.
+SINGLE = [hashed(np.arange(2 * HEAD + 2, dtype=np.uint64), j) for j in range(4)]
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(text) -> (token binary, n long)."""
 
@@ -114,9 +125,8 @@ def numbers(texts: list[bytes], rank: dict[bytes, int]) -> tuple[np.ndarray, np.
 
 def features(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
     """(tokens, 4) hashes of each token's context."""
-    own = np.where(ids < 0, UNSEEN, np.where(ids < HEAD, ids, HEAD + (ids & (HEAD - 1)))).astype(np.uint64)
-    begin = np.cumsum(length) - length
-    place = np.arange(len(ids)) - np.repeat(begin, length)
+    own = np.where(ids < 0, UNSEEN, np.where(ids < HEAD, ids, HEAD + (ids & (HEAD - 1)))).astype(np.int16)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)
     before = []
     for k in (1, 2, 3):
         w = np.empty_like(own)
@@ -125,19 +135,29 @@ def features(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         w[place < k] = BEGIN
         before.append(w)
     one, two, three = before
-    f = np.stack([one, one * np.uint64(4096) + two, two, three], axis=1) + np.uint64(1)
-    f *= MULTIPLIERS
-    f ^= f >> np.uint64(31)
-    f *= MULTIPLIERS[::-1]
+    f = np.empty((len(ids), 4), dtype=np.uint64)
+    for j, w in ((0, one), (2, two), (3, three)):
+        f[:, j] = np.take(SINGLE[j], w)
+    f[:, 1] = hashed(one.astype(np.uint64) * np.uint64(4096) + two.astype(np.uint64), 1)
     return f
 
 
 def softmax_rows(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+    """In place. Logits are logs of shares plus small weights; the bound keeps a runaway weight finite."""
+    np.minimum(x, np.float32(60), out=x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
     return x
 
 
+def gathered(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the weight rows of each token's features."""
+    out = np.take(w, rows[:, 0], axis=0)
+    for j in range(1, rows.shape[1]):
+        out += np.take(w, rows[:, j], axis=0)
+    return out
+
+
 def parts(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token, places of those in the head, and the weights' rows of both layers."""
     cls = np.where((ids >= 0) & (ids < HEAD), ids // SIZE, CLASSES)
@@ -150,8 +170,8 @@ def parts(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def predict(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple:
     cls, head, rows_c, rows_t, inner = parts(m, f, ids)
-    pc = softmax_rows(m.class_rows[rows_c].sum(axis=1) + m.class_bias)
-    pt = softmax_rows(m.token_rows[rows_t].sum(axis=1) + m.token_bias[cls[head]])
+    pc = softmax_rows(gathered(m.class_rows, rows_c) + m.class_bias)
+    pt = softmax_rows(gathered(m.token_rows, rows_t) + np.take(m.token_bias, cls[head], axis=0))
     return cls, head, rows_c, rows_t, inner, pc, pt
 
 
@@ -169,16 +189,23 @@ def log10_head(m: Model, f: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def descend(w: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """One step of row-scaled descent; rows: (tokens, features), grad: (tokens, width)."""
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.int16)  # sixteen bits: sorted by radix
     order = np.argsort(flat, kind="stable")
     s = flat[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    own = s[first]
-    g = np.add.reduceat(grad[order // rows.shape[1]], first, axis=0)
+    own = s[first].astype(np.int64)
+    token = order // rows.shape[1]
     n = np.diff(np.append(first, len(s)))
+    g = np.take(grad, token[first], axis=0)  # most rows are met once in a batch
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        size = n[many]
+        inside = np.repeat(n > 1, n)
+        g[many] = np.add.reduceat(np.take(grad, token[inside], axis=0), np.cumsum(size) - size, axis=0)
     visits[own] += n
-    squares[own] += (g * g).mean(axis=1)
-    w[own] -= np.float32(RATE) * g / np.sqrt(squares[own] + np.float32(1e-3))[:, None]
+    squares[own] += np.einsum("ij,ij->i", g, g) / np.float32(grad.shape[1])
+    g *= (np.float32(RATE) / np.sqrt(squares[own] + np.float32(1e-3)))[:, None]
+    w[own] -= g
 
 
 def train_on(m: Model, batches: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,15 +296,22 @@ def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
             in_tail = (ids < 0) | (ids >= HEAD)
             model = log10_head(m, features(ids, length), ids) + np.where(in_tail, own - tail, 0.0)
             rare = ids < 0
-            lists = []
+            tokens: list[bytes] = []
+            times: list[int] = []
+            ends = [0]
             for i, words in enumerate(split):
                 at = np.flatnonzero(rare[begin[i] : begin[i] + length[i]])
                 # the end token is rare only when nothing was trained
-                lists.append([{"token": w, "n": n} for w, n in Counter(words[j] if j < len(words) else END for j in at.tolist()).items()])
+                met = Counter([words[j] if j < len(words) else END for j in at.tolist()])
+                tokens += met.keys()
+                times += met.values()
+                ends.append(len(tokens))
+            pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], names=["token", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             sums = [np.add.reduceat(x, begin) for x in (~rare, rare, own, model)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([uuid.uuid4().bytes for _ in texts], pa.binary()), batch.column(0), pa.array(length), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
-                pa.array(sums[2]), pa.array(sums[3]), pa.array(lists, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
+                pa.array(sums[2]), pa.array(sums[3]), lists,
             ], names=["rid", "doc_id", "n_tokens", "n_known", "n_rare", "base", "model", "rare"])
 
     rows = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED))
