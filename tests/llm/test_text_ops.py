@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltscan.llm import chat_tree, components, decontaminate, kk_shards, language_mix, line_quality, lm_scoring, piece_codec, simhash_dedup, suffix_dedup, toxicity
+from siltscan.llm import chat_tree, components, decontaminate, kk_shards, language_mix, line_quality, lm_scoring, near_copies, piece_codec, simhash_dedup, suffix_dedup, toxicity
 
 rng = np.random.default_rng(3)
 WORDS = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
@@ -134,6 +134,33 @@ def test_simhash_links_of_crowded_buckets(spark):
         assert all(roots.get(f, f) == want[f] for f in fps)
 
 
+@pytest.mark.parametrize("most", [2_000_000, 1000])
+def test_near_copies_share_shingles(spark, tmp_path, monkeypatch, most):
+    """Copies that share 0.8 of their shingles go, however many bits of their fingerprints differ; others stay."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "MOST", most)
+    r = np.random.default_rng(11)
+    rows = []
+    for b in range(8):
+        base = prose(150, 300 + b).split()
+        for edits in (0, 1, 2, 3, 4, 5, 6, 8):
+            w = list(base)
+            for i in r.choice(150, edits, replace=False):
+                w[i] = f"new{b}x{i}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {min(i for i in range(len(rows)) if root[i] == x) for x in set(root)}
+    d = spark.createDataFrame([*rows, (1, rows[1][1]), (None, rows[0][1]), (90, None), (91, " ")], "doc_id long, text string")
+    got = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, d, str(tmp_path)).collect()]
+    assert sorted(x for x in got if x is not None) == sorted(want | {90}) and got.count(None) == 1
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(chain).collect()}
