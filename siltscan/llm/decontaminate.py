@@ -3,9 +3,9 @@
 Words are lower-cased with marks removed. Document frequencies of the benchmark's terms are counted over all
 documents. A distributed randomised SVD of the benchmark's TF-IDF passages (16 words, every 4) gives the
 latent space: tasks add up their share of A'(A Q) over the passages, the driver only orthonormalises a
-(terms x rank) block. Every 16-word window of every document, every 4 words and at the end, is weighed; windows whose
-weight is mostly on terms foreign to the benchmark are left (they cannot be near it), the others are
-projected and compared with all passages by cosine. Candidates are verified on the whole item: the longest common
+(terms x rank) block. Every 16-word window of every document, every 4 words and at the end, that holds a term of the
+benchmark is projected and compared with all passages by cosine; terms foreign to the benchmark weigh nothing, at any
+number of documents. Candidates are verified on the whole item: the longest common
 subsequence with the region around the windows must hold `SIMILARITY` of the item's words within a
 bounded span, and the answer (the item's last sentence) must be there as well. The benchmark is taken in blocks of bounded
 size, each against all documents.
@@ -33,8 +33,8 @@ WIDTH, STRIDE = 16, 4
 RANK = 96
 OVERSAMPLE = 16
 POWER = 2
-#: Least share of a window's squared weight on benchmark terms, least cosine of a candidate.
-SHARE, COSINE = 0.4, 0.5
+#: Least cosine of a candidate.
+COSINE = 0.5
 #: Least share of an item's words in the common subsequence, and of its answer's; longest span in item lengths.
 SIMILARITY, ANSWER, SPAN = 0.8, 0.6, 1.6
 LEAST_WORDS = 8
@@ -159,7 +159,6 @@ class Block:
     def fit(self, spark: SparkSession, docs: DataFrame) -> None:
         n, df = document_frequencies(docs, self.terms)
         self.idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-        self.foreign = float(math.log(n + 1) + 0.05)
         self.of, rows = self.passages()
         made = [([*dict.fromkeys(ids)], [float(self.idf[i]) * ids.count(i) for i in dict.fromkeys(ids)]) for ids in rows]
         frame = spark.createDataFrame(made, "ids array<int>, weights array<float>").repartition(max(1, len(made) // 2000))
@@ -177,22 +176,27 @@ class Block:
             return []
         get = ids.get
         code = np.concatenate([np.fromiter(map(get, w, repeat(0)), dtype=np.int32, count=len(w)) for w in split])
-        square = np.where(code > 0, self.square[code], 0.0)
-        own = np.concatenate([[0.0], np.cumsum(square)])
-        other = np.concatenate([[0], np.cumsum(code == 0)]) * self.foreign**2
+        known = np.concatenate([[0], np.cumsum(code > 0)])
         doc, start, end = windows(lengths)
-        known, foreign = own[end] - own[start], other[end] - other[start]
-        near = np.flatnonzero(known >= SHARE * (known + foreign))
+        near = np.flatnonzero(known[end] > known[start])
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for at in range(0, len(near), 8192):
             some = near[at : at + 8192]
-            place = start[some, None] + np.arange(WIDTH)
-            inside = place < end[some, None]
-            vec = self.vectors[np.where(inside, code[np.minimum(place, total - 1)], 0)].sum(axis=1)
+            place, piece = np.unique(start[some, None] + np.arange(0, WIDTH, STRIDE), return_inverse=True)
+            last = np.zeros(len(place), dtype=np.int64)
+            last[piece] = end[some, None]  # only a text shorter than a window ends inside one
+            own = np.zeros((len(place), self.vectors.shape[1]), dtype=np.float32)
+            for k in range(STRIDE):
+                own += self.vectors[np.where(place + k < last, code[np.minimum(place + k, total - 1)], 0)]
+            vec = own[piece[:, 0]]
+            for k in range(1, WIDTH // STRIDE):
+                vec += own[piece[:, k]]
             vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
             cos = vec @ self.latent.T
+            high = np.flatnonzero(cos.max(axis=1) >= COSINE)
+            cos = cos[high]
             for i, j in zip(*np.nonzero(cos >= COSINE), strict=True):
-                w = some[i]
+                w = some[high[i]]
                 found.setdefault((int(doc[w]), int(self.of[j])), []).append((int(start[w]), int(end[w]), float(cos[i, j])))
         out = []
         begin = np.concatenate([[0], np.cumsum(lengths)])
@@ -201,6 +205,8 @@ class Block:
             best = None
             for a, b, cos in self.regions(hits, len(words)):
                 a, b = max(0, a - begin[d]), min(int(lengths[d]), b - begin[d])
+                if known[begin[d] + b] - known[begin[d] + a] < SIMILARITY * len(words):
+                    continue
                 region = split[d][a:b]
                 got, stop = lcs(words, region)
                 if got < SIMILARITY * len(words) or best and got <= best[0]:
@@ -245,7 +251,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
         if not block.items:
             continue
         block.fit(spark, docs)
-        block.square = np.concatenate([[0.0], block.idf.astype(np.float64) ** 2])
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -242,6 +242,17 @@ def test_leaks_found_and_clean_left(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_reworded_leaks_found_beside_common_words(spark):
+    """Item words that every document holds weigh little; words foreign to the benchmark must not hide them."""
+    words = prose(48, 52).split()
+    item = " ".join(words[:40]) + ". " + " ".join(words[40:]) + "."
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(r.permutation([*set(words), *prose(150, 400 + i).split()]))) for i in range(200)]
+    rows.append((900, prose(30, 53) + " " + " ".join(f"new{i}" if i % 6 == 3 else w for i, w in enumerate(words)) + " " + prose(30, 54)))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(900, 1)}
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
