@@ -546,7 +546,7 @@ def assembled_identifiers(spark, sf_dir):
 
 @query()
 def decode_layers(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("/srv/f"), F.col("doc_id")).alias("path"), F.concat(F.lit("eval('"), F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 300), "UTF-8")), r"[\r\n]", ""), F.lit("');")).alias("text"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("/srv/f"), F.col("doc_id")).alias("path"), F.concat(F.lit("eval('"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"[\r\n]", ""), F.lit("');")).alias("text"))
     return decode.decode_layers(d)
 
 
