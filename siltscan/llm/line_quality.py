@@ -145,11 +145,11 @@ def _marginals(unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.nda
     return node, edge
 
 
-def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 3, steps: int = 15, most_lines: int = 60) -> dict[str, np.ndarray]:
+def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 3, steps: int = 15) -> dict[str, np.ndarray]:
     """docs: (features of the lines, quality). Returns unary weights (features, 2) and transitions (2, 2)."""
     w = np.stack([np.zeros(FEATURES), PRIOR], axis=1)
     trans = np.array([[0.6, -0.6], [-0.6, 0.6]])
-    docs = [(x[:most_lines], q) for x, q in docs if len(x)]
+    docs = [(x, q) for x, q in docs if len(x)]
     if not any(q for _, q in docs) or all(q for _, q in docs):
         return {"w": w, "trans": trans}
     prior_w, prior_t = w.copy(), trans.copy()
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict[
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[x for f in describe(text)[5][:60] for x in f] for text in byte_column(batch, "text")]
+            rows = [[x for f in describe(text)[5] for x in f] for text in byte_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality").mapInArrow(lines, "doc_id long, quality int, x array<double>").collect()

@@ -316,6 +316,20 @@ def test_quality_counts(docs, none, spark):
     assert line_quality.judge(none, line_quality.train(none, labels.limit(0))).count() == 0
 
 
+def test_quality_trains_on_all_lines(spark):
+    """A low text whose boilerplate begins after line 60 teaches by those lines."""
+    clean = [prose(12, 900 + i) + "." for i in range(75)]
+    low = "\n".join([*clean[:65], *(["| home | login | menu |"] * 40)])
+    texts = {1: (low, 0), 2: ("\n".join(clean[5:]), 1)}
+    d = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    model = line_quality.train(d, spark.createDataFrame([(i, q) for i, (_, q) in texts.items()], "doc_id long, quality int"))
+    lines = [(np.array(line_quality.describe(t.encode())[5]), q) for t, q in texts.values()]
+    assert [len(x) for x, _ in lines] == [105, 70]
+    whole, cut = line_quality.fit_crf(lines), line_quality.fit_crf([(x[:60], q) for x, q in lines])
+    assert np.allclose(model["w"], whole["w"]) and not np.allclose(model["w"], cut["w"])
+    assert line_quality.label_lines(low, model) == ["content"] * 65 + ["boilerplate"] * 40
+
+
 def test_viterbi():
     from itertools import product
 
