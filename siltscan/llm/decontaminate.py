@@ -3,9 +3,10 @@
 Words are lower-cased with marks removed. Document frequencies of the benchmark's terms are counted over all
 documents. A distributed randomised SVD of the benchmark's TF-IDF passages (16 words, every 4) gives the
 latent space: tasks add up their share of A'(A Q) over the passages, the driver only orthonormalises a
-(terms x rank) block. Every 16-word window of every document, every 4 words and at the end, that holds a term of the
-benchmark is projected and compared with all passages by cosine; terms foreign to the benchmark weigh nothing, at any
-number of documents. Candidates are verified on the whole item: the longest common
+(terms x rank) block. Every 16-word window of every document, every 4 words and at the end, is
+projected and compared with all passages by cosine, except those from which no item's region holds a span with enough
+of the item's words to be verified (this loses nothing). Terms foreign to the benchmark weigh nothing, at any number of
+documents. Candidates are verified on the whole item: the longest common
 subsequence with the region around the windows must hold `SIMILARITY` of the item's words within a
 bounded span, and the answer (the item's last sentence) must be there as well. The benchmark is taken in blocks of bounded
 size, each against all documents.
@@ -160,6 +161,8 @@ class Block:
         n, df = document_frequencies(docs, self.terms)
         self.idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
         self.of, rows = self.passages()
+        ids = {w: i + 1 for i, w in enumerate(self.terms)}
+        self.codes = [np.array(sorted({ids[w] for w in words})) for _, words, _ in self.items]
         made = [([*dict.fromkeys(ids)], [float(self.idf[i]) * ids.count(i) for i in dict.fromkeys(ids)]) for ids in rows]
         frame = spark.createDataFrame(made, "ids array<int>, weights array<float>").repartition(max(1, len(made) // 2000))
         v = randomised_svd(spark, frame, len(self.terms), min(RANK, max(1, len(self.terms))))
@@ -167,6 +170,30 @@ class Block:
         latent = np.array([self.vectors[np.array(ids) + 1].sum(axis=0) for ids in rows])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+    def spots(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where spans of `SPAN` item lengths with `SIMILARITY` of as many words of an item begin, as item number times the
+        number of words plus the place (every leak is such a span); and the running count of the words that are near one."""
+        found = [np.zeros(0, dtype=np.int64)]
+        edge = np.zeros(len(code) + 1, dtype=np.int64)
+        mine = np.zeros(len(self.vectors), dtype=np.int32)
+        code = code.astype(np.intp)
+        held = np.zeros(len(code) + 1, dtype=np.int32)
+        for k, (_, words, _) in enumerate(self.items):
+            mine[self.codes[k]] = 1
+            np.cumsum(mine.take(code), out=held[1:])
+            mine[self.codes[k]] = 0
+            n = len(words)
+            cap = min(int(SPAN * n) + 1, len(code))
+            enough = math.ceil(SIMILARITY * n)
+            at = np.flatnonzero(held[cap:] - held[:-cap] >= enough)
+            tail = np.arange(len(code) - cap + 1, len(code))
+            at = np.concatenate([at, tail[held[-1] - held[tail] >= enough]])
+            if len(at):
+                found.append(at + k * len(code))
+                np.add.at(edge, np.maximum(at - 3 * n - 2 * WIDTH, 0), 1)
+                np.add.at(edge, np.minimum(at + cap + 3 * n + 2 * WIDTH, len(code)), -1)
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+
     def search(self, texts: list[bytes], ids: dict[bytes, int]) -> list[tuple[int, int, float, float, float, int, int]]:
         """(text number, item_id, cosine, share of the item's words, of its answer's, first word, end) of each leak."""
         split = [tokens(t) for t in texts]
@@ -176,9 +203,11 @@ class Block:
             return []
         get = ids.get
         code = np.concatenate([np.fromiter(map(get, w, repeat(0)), dtype=np.int32, count=len(w)) for w in split])
-        known = np.concatenate([[0], np.cumsum(code > 0)])
         doc, start, end = windows(lengths)
-        near = np.flatnonzero(known[end] > known[start])
+        begin = np.concatenate([[0], np.cumsum(lengths)])
+        spots, reach = self.spots(code)
+        around = np.array([3 * len(words) + 2 * WIDTH for _, words, _ in self.items])
+        near = np.flatnonzero(reach[end] > reach[start])
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for at in range(0, len(near), 8192):
             some = near[at : at + 8192]
@@ -195,18 +224,20 @@ class Block:
             cos = vec @ self.latent.T
             high = np.flatnonzero(cos.max(axis=1) >= COSINE)
             cos = cos[high]
-            for i, j in zip(*np.nonzero(cos >= COSINE), strict=True):
+            i, j = np.nonzero(cos >= COSINE)
+            k = self.of[j]
+            low = np.maximum(start[some[high[i]]] - around[k] - 2 * around[k] // 3, 0)
+            top = np.minimum(end[some[high[i]]] + around[k], total - 1)
+            keep = np.searchsorted(spots, k * total + top, side="right") > np.searchsorted(spots, k * total + low)
+            for i, j in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
                 w = some[high[i]]
                 found.setdefault((int(doc[w]), int(self.of[j])), []).append((int(start[w]), int(end[w]), float(cos[i, j])))
         out = []
-        begin = np.concatenate([[0], np.cumsum(lengths)])
         for (d, k), hits in sorted(found.items()):
             item, words, answer = self.items[k]
             best = None
             for a, b, cos in self.regions(hits, len(words)):
                 a, b = max(0, a - begin[d]), min(int(lengths[d]), b - begin[d])
-                if known[begin[d] + b] - known[begin[d] + a] < SIMILARITY * len(words):
-                    continue
                 region = split[d][a:b]
                 got, stop = lcs(words, region)
                 if got < SIMILARITY * len(words) or best and got <= best[0]:
