@@ -239,14 +239,20 @@ class Block:
             for a, b, cos in self.regions(hits, len(words)):
                 a, b = max(0, a - begin[d]), min(int(lengths[d]), b - begin[d])
                 region = split[d][a:b]
-                got, stop = lcs(words, region)
-                if got < SIMILARITY * len(words) or best and got <= best[0]:
+                if lcs(words, region)[0] < SIMILARITY * len(words):
                     continue
-                _, back = lcs(words[::-1], region[:stop][::-1])
-                first = stop - back
-                told = lcs(answer, region[first:stop])[0]
-                if stop - first <= SPAN * len(words) and told >= ANSWER * len(answer):
-                    best = got, cos, told / max(1, len(answer)), a + first, a + stop
+                own, cap = set(words), int(SPAN * len(words))
+                for p in range(len(region)):  # an alignment begins with a word of the item
+                    if region[p] not in own:
+                        continue
+                    got, stop = lcs(words, region[p : p + cap])
+                    if got < SIMILARITY * len(words) or best and got <= best[0]:
+                        continue
+                    stop += p
+                    first = stop - lcs(words[::-1], region[p:stop][::-1])[1]
+                    told = lcs(answer, region[first:stop])[0]
+                    if told >= ANSWER * len(answer):
+                        best = got, cos, told / max(1, len(answer)), a + first, a + stop
             if best:
                 out.append((d, item, best[1], best[0] / len(words), best[2], int(best[3]), int(best[4])))
         return out
