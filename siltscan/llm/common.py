@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +30,67 @@ def _own_dir(app: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one temporary folder per application."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context. Where
+    neither is set, a temporary folder in local mode, where all share one disk; on a cluster an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = own.get() if own.isDefined() else None
+    if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
+#: Folders written by this process and not deleted yet.
+_written: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage is cut, and losing an executor loses nothing."""
+    """Write a frame to the shared folder and read it back: lineage is cut, and losing an executor loses nothing.
+
+    The folder is deleted by `drop`, by `Scratch` or when the process ends."""
     path = f"{shared_dir(df.sparkSession)}/siltscan-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(paths: list[str]) -> None:
+    for path in paths:
+        spark = _written.pop(path, None)
+        if spark is not None and (jvm := spark.sparkContext._jvm) is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for these frames; nothing may read them afterwards."""
+    delete([f._written for f in frames if hasattr(f, "_written")])
+
+
+class Scratch:
+    """With-block at whose end everything materialised inside it is deleted."""
+
+    def __enter__(self) -> Scratch:
+        self.before = set(_written)
+        return self
+
+    def keep(self, *frames: DataFrame) -> None:
+        self.before |= {f._written for f in frames}
+
+    def __exit__(self, *_: object) -> None:
+        delete([p for p in _written if p not in self.before])
+
+
+@atexit.register
+def _clear() -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone
+        delete(list(_written))
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -63,7 +117,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def by_bytes(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of batches whose column `name` holds about `most` bytes at a time, one row at least."""
     for batch in batches:
-        sizes = np.asarray(batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pandas().map(lambda x: len(x) if x is not None else 0), dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and total + n > most:
