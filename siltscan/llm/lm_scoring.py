@@ -1,17 +1,26 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 Tokens are lower-cased (A-Z) words and one end per text. Token counts come from all training texts (partial sums per task, then one sum
-per token). The `HEAD` commonest tokens are dealt to classes by rank; one more class holds all other tokens. The model is
-P(class | context) P(token | class, context), each factor a softmax over weights of hashed features: the word before, the two before, and
-the words two and three before (skips). Inside the last class a token's share is its smoothed count, so the distribution covers every
-token. Each task descends over all its training texts from the same start; the updated weights are averaged
-row by row, weighed by how often a task met the row. Texts are scored in sparse numpy batches: only the rows of features met are read.
-
-Counts of the `KNOWN` commonest tokens (a bound, not a share) are broadcast; the others are joined by token, so the table of counts may
-grow with the corpus. Every score covers the whole text.
+per token). Every token has a path in a tree of classes, 16 branches a node: the `DIRECT` commonest tokens end after two steps, all others
+(seen or not) go to one of 32 classes and on through subclasses by their hash. The tree is as deep as the number of distinct tokens
+asks for (`depth_of`). The model is the product, over a path, of P(branch | node, context), each a softmax over
+weights of hashed features: the word before, the two before, and the words two and three before (skips), whatever these words are. A
+leaf that several tokens share is divided by their smoothed counts, so the distribution covers every token.
+
+Training is a few rounds of distributed gradient updates. A round takes the training rows that a hash deals to it (each row belongs to one
+round), every task adds up observed and expected branch counts of its rows under the same weights, the sums meet by block
+of weights, and one step is taken: the gradient (observed less expected) over the logarithmic mean of both. In the first round, which takes
+most rows, weights are zero and every node's shares known, so expected counts follow from the observed ones. Sums don't
+depend on how rows lie in tasks, so neither does the model (but for rounding). Texts are scored in sparse numpy batches: only the
+weights of features met are read.
+
+Bounds: counts of at most `KNOWN` common tokens are broadcast (a threshold on counts, found from a histogram of counts), those of all others are
+joined by token; leaves are at most 32 * 16 ** `DEEPEST` and weights `MOST_ROWS` * 16 a step of the paths, both growing with the input up to that. Beyond it leaves
+hold more tokens and features share rows more often; nothing is left out. Every score covers the whole text.
 
 Laws for odd input: a null or empty text is one end token; a null doc_id counts as a training row; without training rows every token is
-unseen; repeated rows are scored (and count) each by itself; ties in count go to the lesser token; extra columns are ignored.
+unseen; very long texts are one row of a batch of their own; repeated rows are scored (and count) each by itself; ties in count go to
+the lesser token; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +40,21 @@ from pyspark.sql import functions as F
 from siltscan.llm.common import by_bytes, byte_column, held_out, materialise, table, words_of
 
 END = b" "  # no word holds a space
-CLASSES, SIZE = 32, 32
-HEAD = CLASSES * SIZE
+WIDE = 16
+DIRECT, TAILS = 224, 32
+#: Least and largest number of steps below the 32 classes; distinct tokens a leaf should have.
+SHALLOWEST, DEEPEST, PER_LEAF = 1, 4, 512
 KNOWN = 1 << 17
-CLASS_ROWS, TOKEN_ROWS = 1 << 13, 1 << 14
+#: Rows of weights of each step: a power of two, about one for `PER_ROW` training tokens within the bounds.
+LEAST_ROWS, MOST_ROWS, PER_ROW = 1 << 12, 1 << 17, 32
+#: Of so many parts of the training rows, those of the first round; each other round has one.
+PARTS, FIRST = 32, 30
+#: Share of a full step, in the first round and after it; counts added to observed and expected ones.
+FIRST_RATE, RATE, PRIOR = 0.5, 0.2, 4.0
 BLOCK = 256
 FLUSH = 400_000
 BATCH = 8192
-RATE = 0.15
-UNSEEN, BEGIN = 2 * HEAD, 2 * HEAD + 1
+BEGIN = 1 << 32  # no word's hash
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -49,10 +65,6 @@ def hashed(x: np.ndarray, j: int) -> np.ndarray:
     return x * MULTIPLIERS[3 - j]
 
 
-#: Hashes of the features of one word.
-SINGLE = [hashed(np.arange(2 * HEAD + 2, dtype=np.uint64), j) for j in range(4)]
-
-
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(text) -> (token binary, n long)."""
 
@@ -76,57 +88,79 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def depth_of(distinct: int) -> int:
+    """Steps below the classes for so many distinct tokens."""
+    depth = SHALLOWEST
+    while depth < DEEPEST and TAILS * WIDE**depth * PER_LEAF < distinct:
+        depth += 1
+    return depth
+
+
+def leaf_column(depth: int):
+    """The leaf of a token (binary column) among TAILS * WIDE ** depth, as `leaf_of` has it."""
+    return F.crc32("token").bitwiseAND(F.lit(TAILS * WIDE**depth - 1))
+
+
 @dataclass
 class Model:
-    """What scoring needs: bounded by HEAD, KNOWN and the numbers of rows."""
+    """What scoring needs. Its size is bounded by KNOWN, DEEPEST and MOST_ROWS."""
 
-    known: list[bytes]
+    known: list[bytes]  # commonest first
     count: np.ndarray
     total: int
     distinct: int
-    class_bias: np.ndarray
-    token_bias: np.ndarray
-    class_rows: np.ndarray
-    token_rows: np.ndarray
+    depth: int
+    leaf_mass: np.ndarray
+    bias: list[np.ndarray]  # of each step: (nodes, branches), logs of shares
+    weights: list[np.ndarray]  # of each step: (rows, branches); a node has rows of its own
+
+
+def start(known: list[bytes], count: np.ndarray, total: int, distinct: int, leaves: np.ndarray) -> Model:
+    """The model before training: every branch by its share of counts. leaves: counts and distinct tokens of each leaf of the tail, DIRECT ones left out."""
+    depth = depth_of(distinct)
+    direct = np.ones(DIRECT)
+    direct[: min(DIRECT, len(count))] += count[:DIRECT]
+    mass = leaves.sum(axis=0) + 1.0
+    levels = [mass.reshape(-1, WIDE)]
+    while levels[0].shape[0] > TAILS:
+        levels.insert(0, levels[0].sum(axis=1).reshape(-1, WIDE))
+    top = np.append(direct, levels[0].sum(axis=1)).reshape(WIDE, WIDE)
+    levels = [top.sum(axis=1).reshape(1, WIDE), top, *levels]
+    rows = LEAST_ROWS
+    while rows < MOST_ROWS and rows * PER_ROW < total:
+        rows *= 2
+    bias = [np.log(x / x.sum(axis=1, keepdims=True)).astype(np.float32) for x in levels]
+    return Model(known, count, total, distinct, depth, mass, bias, [np.zeros((max(rows, len(x)), WIDE), dtype=np.float32) for x in bias])
 
-    @property
-    def tail_total(self) -> int:
-        return self.total - int(self.count[:HEAD].sum())
-
-    @property
-    def tail_distinct(self) -> int:
-        return max(0, self.distinct - HEAD)
 
+@dataclass
+class Tokens:
+    """Tokens of several texts, their ends among them."""
 
-def start(known: list[bytes], count: np.ndarray, total: int, distinct: int) -> Model:
-    """The model before training: class and token shares by count."""
-    head = np.zeros(HEAD)
-    head[: min(HEAD, len(count))] = count[:HEAD]
-    by_class = head.reshape(CLASSES, SIZE)
-    rest = max(0, total - head.sum())
-    share = np.append(by_class.sum(axis=1), rest) + 1.0
-    token = np.where(by_class > 0, np.log(by_class + 1e-9), -30.0)
-    return Model(known, count, total, distinct, np.log(share / share.sum()).astype(np.float32), token.astype(np.float32), np.zeros((CLASS_ROWS, CLASSES + 1), dtype=np.float32), np.zeros((TOKEN_ROWS, SIZE), dtype=np.float32))
+    index: np.ndarray  # among the known, or -1
+    hash: np.ndarray
+    length: np.ndarray
+    words: list[list[bytes]]
 
 
-def numbers(texts: list[bytes], rank: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ranks (-1 beyond the known ones) of all tokens, ends among them; tokens of each text; its words."""
+def numbers(texts: list[bytes], index: dict[bytes, int]) -> Tokens:
     split = [words_of(t) for t in texts]
     length = np.array([len(w) + 1 for w in split], dtype=np.int64)
-    end = rank.get(END, -1)
-    ids = np.empty(int(length.sum()), dtype=np.int32)
-    at = 0
+    total = int(length.sum())
+    own, code = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.uint32)
+    end, end_code, at = index.get(END, -1), crc32(END), 0
     for words, n in zip(split, length.tolist(), strict=True):
-        ids[at : at + n - 1] = np.fromiter(map(rank.get, words, repeat(-1)), dtype=np.int32, count=n - 1)
-        ids[at + n - 1] = end
+        own[at : at + n - 1] = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=n - 1)
+        code[at : at + n - 1] = np.fromiter(map(crc32, words), dtype=np.uint32, count=n - 1)
+        own[at + n - 1], code[at + n - 1] = end, end_code
         at += n
-    return ids, length, split
+    return Tokens(own, code, length, split)
 
 
-def features(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+def features(t: Tokens) -> np.ndarray:
     """(tokens, 4) hashes of each token's context."""
-    own = np.where(ids < 0, UNSEEN, np.where(ids < HEAD, ids, HEAD + (ids & (HEAD - 1)))).astype(np.int16)
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)
+    own = t.hash.astype(np.uint64)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(t.length) - t.length, t.length)
     before = []
     for k in (1, 2, 3):
         w = np.empty_like(own)
@@ -135,142 +169,177 @@ def features(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         w[place < k] = BEGIN
         before.append(w)
     one, two, three = before
-    f = np.empty((len(ids), 4), dtype=np.uint64)
-    for j, w in ((0, one), (2, two), (3, three)):
-        f[:, j] = np.take(SINGLE[j], w)
-    f[:, 1] = hashed(one.astype(np.uint64) * np.uint64(4096) + two.astype(np.uint64), 1)
+    f = np.empty((len(own), 4), dtype=np.uint64)
+    f[:, 0] = hashed(one, 0)
+    f[:, 1] = hashed((one << np.uint64(31)) ^ two, 1)
+    f[:, 2] = hashed(two, 2)
+    f[:, 3] = hashed(three, 3)
     return f
 
 
-def softmax_rows(x: np.ndarray) -> np.ndarray:
-    """In place. Logits are logs of shares plus small weights; the bound keeps a runaway weight finite."""
-    np.minimum(x, np.float32(60), out=x)
+def steps(m: Model, t_index: np.ndarray, t_hash: np.ndarray) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]:
+    """For each step of the paths: places of the tokens that take it (None: all), their node and their branch."""
+    tail = (t_index < 0) | (t_index >= DIRECT)
+    leaf = t_hash & np.uint32(TAILS * WIDE**m.depth - 1)
+    slot = np.where(tail, np.uint32(DIRECT) + (leaf >> np.uint32(4 * m.depth)), t_index.astype(np.uint32)).astype(np.int64)
+    yield None, np.zeros(len(slot), dtype=np.int64), slot >> 4
+    yield None, slot >> 4, slot & 15
+    at = np.flatnonzero(tail)
+    low = leaf[at].astype(np.int64)
+    for d in range(1, m.depth + 1):
+        prefix = low >> (4 * (m.depth - d))
+        yield at, prefix >> 4, prefix & 15
+
+
+def rows_of(m: Model, f: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+    """Rows of the weights for each token's features."""
+    each = (len(m.weights[level]) // len(m.bias[level])).bit_length() - 1
+    first = (node << each).astype(np.int32)[:, None]
+    if not each:
+        return np.broadcast_to(first, f.shape)
+    return (((f ^ (node.astype(np.uint64) * MULTIPLIERS[2])[:, None]) * MULTIPLIERS[0]) >> np.uint64(64 - each)).astype(np.int32) + first
+
+
+def chances(m: Model, rows: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+    """The chances of a node's branches."""
+    x = np.take(m.bias[level], node, axis=0)
+    for j in range(rows.shape[1]):
+        x += np.take(m.weights[level], rows[:, j], axis=0)
+    np.minimum(x, np.float32(60), out=x)  # keeps a runaway weight finite
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+    x /= (x @ np.ones(WIDE, dtype=np.float32))[:, None]
     return x
 
 
-def gathered(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum of the weight rows of each token's features."""
-    out = np.take(w, rows[:, 0], axis=0)
-    for j in range(1, rows.shape[1]):
-        out += np.take(w, rows[:, j], axis=0)
-    return out
-
-
-def parts(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token, places of those in the head, and the weights' rows of both layers."""
-    cls = np.where((ids >= 0) & (ids < HEAD), ids // SIZE, CLASSES)
-    head = np.flatnonzero(cls < CLASSES)
-    rows_c = (f >> np.uint64(64 - 13)).astype(np.int64)
-    mixed = f[head] ^ (cls[head].astype(np.uint64) * MULTIPLIERS[2])[:, None]
-    rows_t = ((mixed * MULTIPLIERS[0]) >> np.uint64(64 - 14)).astype(np.int64)
-    return cls, head, rows_c, rows_t, ids[head] % SIZE
-
-
-def predict(m: Model, f: np.ndarray, ids: np.ndarray) -> tuple:
-    cls, head, rows_c, rows_t, inner = parts(m, f, ids)
-    pc = softmax_rows(gathered(m.class_rows, rows_c) + m.class_bias)
-    pt = softmax_rows(gathered(m.token_rows, rows_t) + np.take(m.token_bias, cls[head], axis=0))
-    return cls, head, rows_c, rows_t, inner, pc, pt
-
-
-def log10_head(m: Model, f: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log10 of the class's probability and, in the head, of the token's within it."""
-    out = np.empty(len(ids))
-    for a in range(0, len(ids), BATCH):
-        i = ids[a : a + BATCH]
-        cls, head, _, _, inner, pc, pt = predict(m, f[a : a + BATCH], i)
-        p = pc[np.arange(len(i)), cls].astype(np.float64)
-        p[head] *= np.maximum(pt[np.arange(len(head)), inner], 1e-30)
-        out[a : a + BATCH] = np.log10(np.maximum(p, 1e-300))
+def log10_paths(m: Model, t: Tokens, f: np.ndarray) -> np.ndarray:
+    """log10 of the chance of each token's path."""
+    out = np.empty(len(t.index))
+    for a in range(0, len(out), BATCH):
+        g, got = f[a : a + BATCH], np.zeros(min(BATCH, len(out) - a))
+        for level, (at, node, branch) in enumerate(steps(m, t.index[a : a + BATCH], t.hash[a : a + BATCH])):
+            if not len(node):
+                continue
+            p = chances(m, rows_of(m, g if at is None else g[at], level, node), level, node)
+            logs = np.log10(np.maximum(p[np.arange(len(node)), branch], np.float32(1e-30)))
+            if at is None:
+                got += logs
+            else:
+                got[at] += logs
+        out[a : a + BATCH] = got
     return out
 
 
-def descend(w: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    """One step of row-scaled descent; rows: (tokens, features), grad: (tokens, width)."""
-    flat = rows.ravel().astype(np.int16)  # sixteen bits: sorted by radix
-    order = np.argsort(flat, kind="stable")
-    s = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    own = s[first].astype(np.int64)
-    token = order // rows.shape[1]
-    n = np.diff(np.append(first, len(s)))
-    g = np.take(grad, token[first], axis=0)  # most rows are met once in a batch
+def add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """out[rows[i, j]] += values[i] for all i and j."""
+    key = np.sort((rows.astype(np.int64) << 20 | np.arange(len(rows))[:, None]).ravel())
+    own, token = key >> 20, key & ((1 << 20) - 1)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    n = np.diff(np.append(first, len(own)))
+    g = np.take(values, token[first], axis=0)  # most rows are met once in a batch
     many = np.flatnonzero(n > 1)
     if len(many):
         size = n[many]
-        inside = np.repeat(n > 1, n)
-        g[many] = np.add.reduceat(np.take(grad, token[inside], axis=0), np.cumsum(size) - size, axis=0)
-    visits[own] += n
-    squares[own] += np.einsum("ij,ij->i", g, g) / np.float32(grad.shape[1])
-    g *= (np.float32(RATE) / np.sqrt(squares[own] + np.float32(1e-3)))[:, None]
-    w[own] -= g
-
-
-def train_on(m: Model, batches: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Descend over texts; the model's rows change in place. Returns rows and visits of both layers."""
-    rank = {w: i for i, w in enumerate(m.known)}
-    sq_c, sq_t = np.zeros(CLASS_ROWS, dtype=np.float32), np.zeros(TOKEN_ROWS, dtype=np.float32)
-    vis_c, vis_t = np.zeros(CLASS_ROWS, dtype=np.int64), np.zeros(TOKEN_ROWS, dtype=np.int64)
+        g[many] = np.add.reduceat(np.take(values, token[np.repeat(n > 1, n)], axis=0), np.cumsum(size) - size, axis=0)
+    out[own[first]] += g
+
+
+def gradient(m: Model, batches: Iterator[list[bytes]], first: bool) -> list[np.ndarray]:
+    """For each step, (rows, 2 * WIDE): observed counts of the branches, and in all rounds but the first the expected ones."""
+    index = {w: i for i, w in enumerate(m.known[:DIRECT])}
+    seen = [np.zeros(w.size, dtype=np.float32) for w in m.weights]
+    ahead = [np.zeros((0 if first else len(w), WIDE), dtype=np.float32) for w in m.weights]
     for texts in batches:
-        ids, length, _ = numbers(texts, rank)
-        f = features(ids, length)
-        for a in range(0, len(ids), BATCH):
-            cls, head, rows_c, rows_t, inner, pc, pt = predict(m, f[a : a + BATCH], ids[a : a + BATCH])
-            pc[np.arange(len(cls)), cls] -= 1
-            descend(m.class_rows, sq_c, vis_c, rows_c, pc)
-            if len(head):
-                pt[np.arange(len(head)), inner] -= 1
-                descend(m.token_rows, sq_t, vis_t, rows_t, pt)
-    return m.class_rows, vis_c, m.token_rows, vis_t
+        t = numbers(texts, index)
+        f = features(t)
+        for a in range(0, len(t.index), BATCH):
+            g = f[a : a + BATCH]
+            for level, (at, node, branch) in enumerate(steps(m, t.index[a : a + BATCH], t.hash[a : a + BATCH])):
+                if not len(node):
+                    continue
+                rows = rows_of(m, g if at is None else g[at], level, node)
+                np.add.at(seen[level], (rows * np.int32(WIDE) + branch[:, None].astype(np.int32)).ravel(), np.float32(1))
+                if not first:
+                    add_rows(ahead[level], rows, chances(m, rows, level, node))
+    return [np.concatenate([s.reshape(-1, WIDE), e], axis=1) if not first else s.reshape(-1, WIDE) for s, e in zip(seen, ahead, strict=True)]
+
+
+def stepped(weights: np.ndarray, sums: np.ndarray, shares: np.ndarray, first: bool) -> np.ndarray:
+    """One scaled step; a token has four features, so a full step by each would go too far."""
+    seen = sums[:, :WIDE]
+    ahead = seen.sum(axis=1, keepdims=True) * shares if first else sums[:, WIDE:]
+    return weights + ((FIRST_RATE if first else RATE) * np.log((seen + PRIOR) / (ahead + PRIOR))).astype(np.float32)
+
+
+def update(m: Model, level: int, block: int, sums: np.ndarray, first: bool) -> np.ndarray:
+    """The weights of a block of rows after a step."""
+    at = slice(block * BLOCK, (block + 1) * BLOCK)
+    w = m.weights[level][at]
+    each = len(m.weights[level]) // len(m.bias[level])
+    return stepped(w, sums, np.exp(m.bias[level][(np.arange(at.start, at.start + len(w)) // each)]), first)
+
+
+SUMS = "level int, block int, sums binary"
+
+
+def one_round(docs: DataFrame, m: Model, first: bool, tasks: int) -> None:
+    """A step on these rows; the model's weights change in place."""
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+    names, kinds = [c.split()[0] for c in SUMS.split(", ")], (pa.int32(), pa.int32(), pa.binary())
+
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (byte_column(b, "text") for b in by_bytes(batches, "text", 1 << 20))
+        for level, x in enumerate(gradient(shared.value, texts, first)):
+            yield table_of([(level, b // BLOCK, x[b : b + BLOCK].tobytes()) for b in range(0, len(x), BLOCK) if x[b : b + BLOCK].any()])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}  # at most the model's blocks
+        for batch in batches:
+            for level, block, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = np.frombuffer(x, dtype=np.float32).reshape(-1, WIDE if first else 2 * WIDE).astype(np.float64)
+                sums[level, block] = sums[level, block] + got if (level, block) in sums else got
+        yield table_of([(level, b, update(shared.value, level, b, x, first).tobytes()) for (level, b), x in sums.items()])
+
+    got = docs.select("text").coalesce(tasks).mapInArrow(run, SUMS).repartition("level", "block").mapInArrow(step, SUMS).collect()  # the model's blocks
+    for r in got:
+        m.weights[r.level][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, dtype=np.float32).reshape(-1, WIDE)
+    shared.unpersist()
+
+
+def threshold(counts: DataFrame, most: int) -> int:
+    """Least count such that at most `most` tokens have it or more. Counts are sorted into at most a few hundred bins of their logarithm."""
+    grain = 16
+    bins = counts.groupBy(F.floor(F.log2("n") * grain).alias("bin")).agg(F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
+    total, least = 0, None
+    for r in bins:
+        total += r.tokens
+        if total > most:
+            break
+        least = r.least
+    return least if least is not None else 1 << 62
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """(text) of all training documents -> the model, and the counts of all tokens (token, n)."""
-    spark = docs.sparkSession
+    """(doc_id, text) of all training documents -> the model, and the counts of all tokens (token, n)."""
     counts = materialise(count_tokens(docs))
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(KNOWN).collect()  # bounded by KNOWN
-    m = start([bytes(r.token) for r in top], np.array([r.n for r in top], dtype=np.int64), total or 0, distinct)
-    shared = spark.sparkContext.broadcast(m)
-    schema = "layer int, block int, rows binary, visits binary"
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = shared.value
-        own = Model(**{**base.__dict__, "class_rows": base.class_rows.copy(), "token_rows": base.token_rows.copy()})
-        met = False
-
-        def texts() -> Iterator[list[bytes]]:
-            nonlocal met
-            for batch in by_bytes(batches, "text", 1 << 20):
-                met = True
-                yield byte_column(batch, "text")
-
-        wc, vc, wt, vt = train_on(own, texts())
-        if met:
-            for layer, (w, v) in enumerate(((wc, vc), (wt, vt))):
-                out = [(layer, b // BLOCK, (w[b : b + BLOCK] * v[b : b + BLOCK, None]).astype(np.float32).tobytes(), v[b : b + BLOCK].tobytes()) for b in range(0, len(w), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["layer", "block", "rows", "visits"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list[np.ndarray]] = {}  # at most the model's blocks
-        for batch in batches:
-            for layer, block, rows, visits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w, v = np.frombuffer(rows, dtype=np.float32).astype(np.float64), np.frombuffer(visits, dtype=np.int64)
-                if (layer, block) in sums:
-                    sums[layer, block][0] += w
-                    sums[layer, block][1] += v
-                else:
-                    sums[layer, block] = [w, v.copy()]
-        out = [(*k, w.tobytes(), v.tobytes()) for k, (w, v) in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["layer", "block", "rows", "visits"])
-
-    got = docs.select("text").mapInArrow(train, schema).repartition("layer", "block").mapInArrow(add, schema).collect()  # the model's blocks
-    for r in got:
-        w = m.token_rows if r.layer else m.class_rows
-        v = np.frombuffer(r.visits, dtype=np.int64)
-        w[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.rows, dtype=np.float64).reshape(BLOCK, -1) / np.maximum(v, 1)[:, None]
+    first = counts.orderBy(F.desc("n"), "token").limit(DIRECT).collect()
+    common = counts.where(F.col("n") >= threshold(counts, KNOWN)).collect()  # at most KNOWN
+    count = {bytes(r.token): r.n for r in [*common, *first]}
+    known = sorted(count, key=lambda w: (-count[w], w))
+    depth = depth_of(distinct)
+    leaves = np.zeros((2, TAILS * WIDE**depth))
+    of = counts.where(~F.col("token").isin([bytearray(w) for w in known[:DIRECT]])) if known else counts
+    for r in of.groupBy(leaf_column(depth).alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).toLocalIterator():  # at most the leaves
+        leaves[:, r.leaf] = r.n, r.d
+    m = start(known, np.array([count[w] for w in known], dtype=np.int64), total or 0, distinct, leaves)
+    text = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)).alias("part"), "text")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // 16))
+    one_round(text.where(F.col("part") < FIRST), m, True, tasks)
+    for part in range(FIRST, PARTS):
+        one_round(text.where(F.col("part") == part), m, False, tasks)
     return m, counts
 
 
@@ -283,24 +352,24 @@ def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        rank = {w: i for i, w in enumerate(m.known)}
+        index = {w: i for i, w in enumerate(m.known)}
         log_count = np.append(np.log10(m.count + 1.0), 0.0)  # -1: rare or unseen, added later
-        tail = np.log10(m.tail_total + m.tail_distinct + 1.0)
+        log_mass = np.log10(m.leaf_mass)
         for batch in by_bytes(batches, "text", 1 << 20):
             texts = byte_column(batch, "text")
             if not texts:
                 continue
-            ids, length, split = numbers(texts, rank)
-            begin = np.cumsum(length) - length
-            own = log_count[ids]
-            in_tail = (ids < 0) | (ids >= HEAD)
-            model = log10_head(m, features(ids, length), ids) + np.where(in_tail, own - tail, 0.0)
-            rare = ids < 0
+            t = numbers(texts, index)
+            begin = np.cumsum(t.length) - t.length
+            own = log_count[t.index]
+            in_tail = (t.index < 0) | (t.index >= DIRECT)
+            model = log10_paths(m, t, features(t)) + np.where(in_tail, own - log_mass[t.hash & np.uint32(len(log_mass) - 1)], 0.0)
+            rare = t.index < 0
             tokens: list[bytes] = []
             times: list[int] = []
             ends = [0]
-            for i, words in enumerate(split):
-                at = np.flatnonzero(rare[begin[i] : begin[i] + length[i]])
+            for i, words in enumerate(t.words):
+                at = np.flatnonzero(rare[begin[i] : begin[i] + t.length[i]])
                 # the end token is rare only when nothing was trained
                 met = Counter([words[j] if j < len(words) else END for j in at.tolist()])
                 tokens += met.keys()
@@ -310,7 +379,7 @@ def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             sums = [np.add.reduceat(x, begin) for x in (~rare, rare, own, model)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([uuid.uuid4().bytes for _ in texts], pa.binary()), batch.column(0), pa.array(length), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
+                pa.array([uuid.uuid4().bytes for _ in texts], pa.binary()), batch.column(0), pa.array(t.length), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
                 pa.array(sums[2]), pa.array(sums[3]), lists,
             ], names=["rid", "doc_id", "n_tokens", "n_known", "n_rare", "base", "model", "rare"])
 
@@ -326,7 +395,7 @@ def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = F.coalesce(held_out(F.col("doc_id"), 7, 2), F.lit(False))
     m, counts = fit(docs.where(~out))
     return score(docs, m, counts).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
