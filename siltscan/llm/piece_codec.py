@@ -3,12 +3,11 @@
 The vocabulary file's path is a parameter; each worker opens it once. A text (with the dummy prefix space) is cut before
 spaces that follow other characters and around line ends, where no piece of the vocabulary can lie (checked when it is opened).
 Inside a chunk the agenda always takes the best-scored adjacent pair, leftmost first; a candidate merge
-(start, piece) is skipped when a hash keyed by seed, chunk and variant falls under the dropout rate. The variant
-of each occurrence is itself a keyed hash of document and position, so one word gets several segmentations, and
-equal (chunk, variant) pairs of a batch are segmented once, many together in numpy. Chunks beyond
+(start, piece) is skipped when a hash keyed by seed, document, position of the chunk and its text falls under the dropout rate, so every
+occurrence of a word draws its own segmentation. Many chunks are segmented together in numpy; chunks beyond
 `LONG` characters use a heap agenda, which gives the same result. Characters outside the vocabulary fall back to bytes.
 
-Laws for odd input: null and empty texts have no pieces and decode to the empty text; a literal U+2581 is spelt in bytes,
+Laws for odd input: null and empty texts have no pieces and decode to the empty text; a very long text is a batch of its own; an empty table gives an empty result; a literal U+2581 is spelt in bytes,
 so that it doesn't decode to a space; a null doc_id counts as 0; repeated rows are encoded alike; extra columns are ignored.
 """
 
@@ -30,7 +29,6 @@ from siltscan.llm.common import by_bytes, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 42
-VARIANTS = 8
 LONG = 48
 NEVER = np.iinfo(np.int32).max
 CHUNK = re.compile(r" *[^ \n\t]+| +|[\n\t]")
@@ -210,7 +208,7 @@ def opened(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_batch(v: Vocabulary, texts: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(v: Vocabulary, texts: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all texts, and how many each has."""
     threshold = min(int(dropout * 2**64), M64)
     number: dict[str, int] = {}
@@ -226,8 +224,13 @@ def encode_batch(v: Vocabulary, texts: list[str], keys: list[int], dropout: floa
     doc = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(local)) - (np.cumsum(counts) - counts)[doc]
     key = np.array([k & M64 for k in keys], dtype=np.uint64)[doc]
-    variant = (mix(mix(key + np.uint64(seed)) + place.astype(np.uint64) * np.uint64(C1)) % np.uint64(variants)).astype(np.int64) if threshold else 0
-    pair, inverse = np.unique(np.array(local, dtype=np.int64) * variants + variant, return_inverse=True)
+    draw = mix(mix(key + np.uint64(seed)) + place.astype(np.uint64) * np.uint64(C1))
+    of = np.array(local, dtype=np.int64)
+    if threshold:
+        inverse = np.arange(len(of))
+    else:  # equal chunks are equal throughout
+        of, first, inverse = np.unique(of, return_index=True, return_inverse=True)
+        draw = draw[first]
     chunks = list(number)
     points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
@@ -237,12 +240,11 @@ def encode_batch(v: Vocabulary, texts: list[str], keys: list[int], dropout: floa
     inner = np.arange(len(points)) - np.repeat(begin, size)
     digest = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * power[inner], begin)
     char = v.char[points]
-    of, var = pair // variants, (pair % variants).astype(np.uint64)
-    hashed = mix(digest[of] + mix(var * np.uint64(C2) + np.uint64(seed)))
+    hashed = mix(digest[of] + draw)
     lengths = size[of]
     got: list[np.ndarray | None] = []
-    out_len = np.zeros(len(pair), dtype=np.int64)
-    out_at = np.zeros(len(pair), dtype=np.int64)
+    out_len = np.zeros(len(of), dtype=np.int64)
+    out_at = np.zeros(len(of), dtype=np.int64)
     filled = 0
     low = 0
     for high in (6, 10, 16, 28, LONG):
