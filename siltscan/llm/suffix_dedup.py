@@ -5,16 +5,20 @@ anchor, the leftmost least hash among its 32-byte strings, so equal windows name
 (and, backwards, the prefixes) at anchors whose hash recurs are sorted:
 
 1. scan: (anchor hash, text key, times) rows, one for each text and hash; hashes that occur once are dropped;
-2. equal texts are one text: all but the least key of a group leave, and texts with a copy are removed whole;
+2. equal texts are one text (its key is half of its SHA-256), and texts with a copy are removed whole;
 3. the contexts (the windows of an anchor) of the rest are made distinct before they are dealt by hash;
 4. each task orders the contexts to the right of the anchors, and the reversed ones to the left: multikey quicksort over 8-byte
    characters to a shallow depth, then a blind trie for each group that still shares a prefix; adjacent common prefixes
    give, for each shift of the window, the classes of equal left and right parts, hence the windows that recur;
 5. covered spans go back to the texts.
 
+Joins by hash or key are between written tables, so that the engine splits those of a very frequent hash. A text longer than `PIECE` is
+scanned in overlapping pieces; every window lies in just one. Among the strings of a window the anchor is the leftmost one with the least upper 40 bits,
+whatever batch it comes in.
+
 A hash with more than `GROUP` distinct contexts isn't collected: its windows are counted one by one, by digest and shift, which is exact as well.
 
-Laws for odd input: a null text is empty; texts under 200 bytes keep all; repeated rows are copies of each other; matches never cross
+Laws for odd input: a null doc_id is carried through; a null text is empty; texts under 200 bytes keep all; repeated rows are copies of each other; matches never cross
 texts; spans are judged on the input; an empty table gives an empty result; extra columns are ignored. `cut_texts` trims
 spans to whole characters.
 """
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltscan.llm.common import by_bytes, byte_column, materialise, table
@@ -36,6 +40,9 @@ GRAM = 32
 INSIDE = SPAN - GRAM + 1
 SHALLOW = 5  # 8-byte characters
 GROUP = 32_768
+#: Bytes of a text that are scanned at a time; with a batch of other texts they stay under 2 ** PLACE_BITS.
+PIECE = 4 << 20
+PLACE_BITS = 24
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -72,7 +79,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return none, none, none, none, none.astype(np.uint64), begin
     joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
     h = gram_hashes(joined)
-    bits = np.uint64(len(h).bit_length())
+    if len(joined) >> PLACE_BITS:
+        raise ValueError("pieces are too long")
+    bits = np.uint64(PLACE_BITS)
     least = sliding_least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), INSIDE)
     valid = np.ones(len(joined), dtype=bool)
     for b, n in zip(begin.tolist(), size.tolist(), strict=True):
@@ -203,34 +212,47 @@ def runs(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, last - 1
 
 
+def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Numbers of texts, where in them each piece begins, and the pieces: all texts together, but long ones piece by piece. No window lies in two."""
+    short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+    yield short, [0] * len(short), [texts[i] for i in short]
+    for i, t in enumerate(texts):
+        if len(t) > PIECE:
+            for at in range(0, len(t) - SPAN + 1, PIECE - SPAN + 1):
+                yield [i], [at], [t[at : at + PIECE]]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", 2 << 20):
-        key = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-        doc, _, _, _, h, _ = anchors(byte_column(batch, "text"))
+        docs, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+        for of, _, parts in pieces(byte_column(batch, "text")):
+            doc, _, _, _, h, _ = anchors(parts)
+            docs.append(np.array(of, dtype=np.int64)[doc])
+            hashes.append(h)
+        doc, h = np.concatenate(docs), np.concatenate(hashes)
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(doc) else doc
         times = np.diff(np.append(first, len(doc)))
-        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(key[doc[first]]), pa.array(times.astype(np.int32))], names=["h", "key", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), batch.column(0).take(pa.array(doc[first])), pa.array(times.astype(np.int32))], names=["h", "key", "times"])
 
 
-CONTEXT = "key long, h long, high int, low int, context binary, places array<long>"
+CONTEXT = "key binary, h long, high int, low int, context binary, places array<long>"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text, hashes) -> the distinct contexts of each text at these hashes, with their places."""
     for batch in by_bytes(batches, "text", 1 << 20):
-        keys, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        keys, wanted = batch.column(0).to_pylist(), [set(w) for w in batch.column(2).to_pylist()]
         texts = byte_column(batch, "text")
-        doc, place, low, high, h, begin = anchors(texts)
-        ask = np.repeat(np.arange(len(texts)), [len(w) for w in wanted])
-        pairs = set(zip(ask.tolist(), (x for w in wanted for x in w), strict=True))
         found: dict[tuple, list[int]] = {}
-        for d, p, lo, hi, x in zip(doc.tolist(), (place - begin[doc]).tolist(), low.tolist(), high.tolist(), h.view(np.int64).tolist(), strict=True):
-            if (d, x) in pairs:
-                found.setdefault((d, x, hi, lo, texts[d][p - hi : p - lo + SPAN]), []).append(p)
+        for of, starts, parts in pieces(texts):
+            doc, place, low, high, h, begin = anchors(parts)
+            for d, p, lo, hi, x in zip(doc.tolist(), (place - begin[doc]).tolist(), low.tolist(), high.tolist(), h.view(np.int64).tolist(), strict=True):
+                if x in wanted[of[d]]:
+                    found.setdefault((of[d], x, hi, lo, parts[d][p - hi : p - lo + SPAN]), []).append(p + starts[d])
         rows = [(keys[d], x, hi, lo, c, at) for (d, x, hi, lo, c), at in found.items()]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=[c.split()[0] for c in CONTEXT.split(", ")])
 
 
@@ -279,21 +301,28 @@ def _single_windows(contexts: DataFrame) -> DataFrame:
     return one.join(seen, ["h", "shift", "window"]).select("h", "high", "digest", F.array("shift").alias("first"), F.array("shift").alias("last"))
 
 
+def key_of(sha: Column | str) -> Column:
+    """Sixteen bytes of a text's hexadecimal SHA-256."""
+    return F.unhex(F.substring(sha, 1, 32))
+
+
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> rows (doc_id, key, n_bytes, whole, sha) and, for texts in part removed, (key, text, marks)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = materialise(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
-    copies = rows.where(f"n_bytes >= {SPAN}").groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("least")).where("copies > 1")
-    rows = materialise(rows.join(copies, "sha", "left").withColumn("whole", F.col("copies").isNotNull()))
-    extra = rows.where("whole and key != least").select("key").distinct()
-
-    seen = materialise(docs.select("key", "text").where(f"octet_length(text) >= {SPAN}").mapInArrow(_scan, "h long, key long, times int"))
-    twice = seen.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    some = materialise(seen.join(twice, "h").join(extra, "key", "left_anti").distinct())
-    twice = some.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
+    docs = docs.withColumn("sha", F.sha2("text", 256)).withColumn("key", key_of("sha"))
+    rows = materialise(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "sha"))
+    copies = materialise(rows.where(f"n_bytes >= {SPAN}").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.lit(True).alias("whole")))
+    rows = materialise(rows.join(copies, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+
+    seen = materialise(docs.select("key", "text").where(f"octet_length(text) >= {SPAN}").mapInArrow(_scan, "h long, key binary, times int"))
+    twice = materialise(seen.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
+    some = materialise(seen.join(twice, "h").groupBy("h", "key").agg(F.max("times").alias("times")))  # copies say the same
+    twice = materialise(some.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
     wanted = some.join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"))
-    touched = materialise(docs.select("key", "text").join(wanted, "key").dropDuplicates(["key"]))
+    # of copies only those with the least id are sent on
+    first = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first")
+    wanted = wanted.join(rows.select("key", first).groupBy("key").agg(F.min("first").alias("first")), "key")
+    touched = materialise(docs.select("key", first, "text").join(wanted, ["key", "first"]).dropDuplicates(["key"]))
 
     placed = materialise(touched.select("key", "text", "hashes").mapInArrow(_contexts, CONTEXT).withColumn("digest", F.xxhash64("context", "low")))
     distinct = placed.groupBy("h", "high", "low", "digest", "context").agg(F.sum(F.size("places")).cast("long").alias("times"))
@@ -346,8 +375,8 @@ def removed(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True))], names=["key", "r", "s", "k"])
 
-    found = partly.select("key", "text", "marks").mapInArrow(run, "key long, r long, s long, k string")
-    out = rows.join(found, "key", "left")
+    found = partly.select("key", "text", "marks").mapInArrow(run, "key binary, r long, s long, k string")
+    out = rows.join(materialise(found), "key", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id", "n_bytes",
@@ -375,13 +404,14 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                 out.append(_cut(text, gone).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "cut"])
 
-    cut = partly.select("key", "text", "marks").mapInArrow(run, "key long, cut string")
+    cut = partly.select("key", "text", "marks").mapInArrow(run, "key binary, cut string")
     whole = rows.where("whole").select("key", F.lit("").alias("cut")).distinct()
-    new = cut.join(whole.select("key"), "key", "left_anti").unionByName(whole)
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    new = materialise(cut.join(whole.select("key"), "key", "left_anti").unionByName(whole))
     own = docs.columns
-    out = docs.withColumn("_key", key).join(new.select(F.col("key").alias("_key"), F.col("cut").alias("_cut")), "_key", "left")
-    return out.select(*[F.coalesce("_cut", "text").alias("text") if c == "text" else F.col(c) for c in own])
+    text = own.index("text")
+    out = docs.toDF(*[f"c{i}" for i in range(len(own))])  # no name of the caller's meets one of ours
+    out = out.withColumn("key", key_of(F.sha2(F.coalesce(F.col(f"c{text}").cast("string"), F.lit("")), 256))).join(new, "key", "left")
+    return out.select(*[(F.coalesce("cut", f"c{i}") if i == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(own)])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
