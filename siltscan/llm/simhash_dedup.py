@@ -8,7 +8,7 @@ are discarded (triangle inequality), the survivors are verified bit by bit. A bu
 links, never all pairs. A bucket beyond `BUCKET` fingerprints is dealt anew by three of distance + 3 blocks
 of the bits that are still free, which finds the same links. Components come from star contractions.
 
-Laws for odd input: a null, empty or blank text has fingerprint zero and links like any other; below `shingle`
+Laws for odd input: very long texts are fingerprinted whole, shingle by shingle; equal fingerprints are one; a null, empty or blank text has fingerprint zero and links like any other; below `shingle`
 words the whole sequence is one shingle; a null doc_id is never a component's id; repeated rows share their
 component; an empty table gives an empty result; extra columns are ignored.
 """
@@ -32,6 +32,8 @@ DISTANCE = 3
 PIVOTS = 16
 #: Largest bucket that one task compares; larger ones are dealt anew by more blocks.
 BUCKET = 20_000
+#: Largest group compared by pivots after that; larger ones are looked up flip by flip.
+FLIPS = 20_000
 
 
 def fingerprint(words: list[bytes], shingle: int = 3) -> int:
@@ -156,6 +158,56 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> It
         yield held
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Whole groups as _groups() gives them, but one of more than `most` rows that doesn't end within `rows` comes in parts (True) and is never held."""
+    held: pa.Table | None = None
+    over: tuple | None = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if over is not None:
+            same = np.ones(held.num_rows, dtype=bool)
+            for k, x in zip(keys, over, strict=True):
+                same &= held.column(k).to_numpy() == x
+            n = int(same.sum())  # sorted: they lead
+            if n:
+                yield held.slice(0, n), True
+            held = held.slice(n)
+            if not held.num_rows:
+                continue
+            over = None
+        if held.num_rows < rows:
+            continue
+        last = np.ones(held.num_rows, dtype=bool)
+        for k in keys:
+            x = held.column(k).to_numpy()
+            last &= x == x[-1]
+        cut = int(np.argmax(last))
+        if cut:
+            yield held.slice(0, cut), False
+        held = held.slice(cut).combine_chunks()
+        if held.num_rows > most:
+            over = tuple(held.column(k)[0].as_py() for k in keys)
+            yield held, True
+            held = None
+    if held is not None and held.num_rows:
+        yield held, False
+
+
+def flip_forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of bucket_forest() for one large group in which few bits vary: every flip of up to `distance` of them is looked up."""
+    fp = np.sort(fp)
+    vary = [1 << b for b in range(64) if int(np.bitwise_or.reduce(fp ^ fp[0])) >> b & 1]
+    parent = np.arange(len(fp))
+    for n in range(1, distance + 1):
+        for c in combinations(vary, n):
+            flipped = fp ^ np.uint64(sum(c))
+            at = np.minimum(np.searchsorted(fp, flipped), len(fp) - 1)
+            hit = np.flatnonzero(fp[at] == flipped)
+            parent = _union(parent, hit, at[hit])
+    moved = np.flatnonzero(parent != np.arange(len(fp)))
+    return fp[moved], fp[parent[moved]]
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """(fp) distinct -> (a, b): links that span all components of fingerprints within `distance` bits."""
     pivots = references()
@@ -166,14 +218,20 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
 
     def compare(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
         names = ["t", "key"] if most else ["t", "t2", "key"]
-        for tbl in _groups(batches, names, 200_000):
+        for tbl, part in _bounded(batches, names, 200_000, most or 1 << 62):
+            if part:
+                yield pa.RecordBatch.from_arrays([tbl.column(k).combine_chunks() for k in ("fp", "key", "t")], names=["a", "b", "t"])
+                continue
             cols = [tbl.column(k).to_numpy() for k in names]
             fp = tbl.column("fp").to_numpy().view(np.uint64)
             new = np.concatenate([[False], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
             group = np.cumsum(new)
             size = np.bincount(group)[group]
-            some = (size > 1) & (size <= most if most else True)
+            some = (size > 1) & (size <= (most or FLIPS))
             a, b = bucket_forest(group[some], fp[some], pivots, distance) if some.any() else (fp[:0], fp[:0])
+            if not most:  # the keys leave some 20 bits free, so a group has a million fingerprints at most
+                more = [flip_forest(fp[group == g], distance) for g in np.unique(group[size > FLIPS])]
+                a, b = (np.concatenate([x, *y]) for x, y in zip((a, b), zip(*more, strict=True) if more else ((), ()), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), -1, dtype=np.int32))], names=["a", "b", "t"])
             if most and (size > most).any():
                 over = size > most
@@ -201,8 +259,9 @@ def cluster(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> Data
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp"), distance))
     named = materialise(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
+    # joins are between written tables, so that the engine splits a very large component or group of copies
+    ids = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = materialise(named.join(ids, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
