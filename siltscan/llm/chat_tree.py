@@ -156,8 +156,9 @@ def emit(nodes: list[dict]) -> tuple[str, list[dict]]:
 def packs(named: DataFrame, paths: int = PATHS) -> DataFrame:
     """Rows of turns() -> packs."""
     many = named.select("root", "leaf").distinct().groupBy("root").count().where(F.col("count") > paths)
-    cut = many.select("root", F.ceil(F.col("count") / paths).cast("int").alias("cuts"))
+    cut = materialise(many.select("root", F.ceil(F.col("count") / paths).cast("int").alias("cuts")))  # so that the join's hot roots are split
     put = named.join(cut, "root", "left").withColumn("bucket", F.pmod(F.xxhash64("leaf"), F.coalesce("cuts", F.lit(1))).cast("int"))
+    put = put.repartition("root", "bucket")  # else the join's dealing by root would bring all packs of a root to one task
     nodes = put.groupBy("root", "bucket", "node").agg(F.first("parent").alias("parent"), F.first("role").alias("role"), F.first("text").alias("text"), F.max(F.col("leaf") == F.col("node")).alias("leaf"))
 
     def run(key: tuple, tbl: pa.Table) -> pa.Table:

@@ -6,7 +6,9 @@ differences a bounded chunk of groups into one partial partition (a vector of `s
 partial partitions are themselves combined, chunk by chunk, until one is left. Every level only keeps
 (part, place) -> (part above, place above) rows, so neither the driver nor a task ever holds all groups.
 
-Laws for odd input: a null text counts as the empty text (size 8, crc32 0); equal texts share a shard
+The join of rows with their group's shard is of two written tables, so that a group with very many rows is split by the engine.
+
+Laws for odd input: a null doc_id is a row like any other; repeated rows get slots of their own; very long texts are only measured and digested; a null text counts as the empty text (size 8, crc32 0); equal texts share a shard
 however large their group; an empty table gives an empty result; ties in size are broken by group key,
 so the result does not depend on the order of rows; extra columns are ignored.
 """
@@ -115,9 +117,9 @@ def kk_assign(groups: DataFrame, shards: int, chunk: int = CHUNK) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_bucket: int = 50_000) -> DataFrame:
     """Shard and gapless slot of every document; equal texts share a shard."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = materialise(docs.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.sha2(text, 256).substr(1, 32).alias("group"),
@@ -125,12 +127,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rows_per_bucket: int
     # ids of groups come from the group's own digest: no global numbering is needed
     key = F.xxhash64("group").alias("id")
     sizes = rows.groupBy("group").agg(F.sum("size").alias("size")).select(key, "size").groupBy("id").agg(F.sum("size").alias("size"))
-    placed = kk_assign(sizes, shards)
+    placed = materialise(kk_assign(sizes, shards))
     out = rows.select("doc_id", "size", "text_crc32", key).join(placed, "id").drop("id")
     # slots: number within (shard, bucket), then add the rows of the shard's earlier buckets
     n = rows.count()
     buckets = max(8, math.ceil(n / rows_per_bucket))
-    out = materialise(out.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
+    out = materialise(out.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int")))
     counts = out.groupBy("shard", "bucket").count()
     starts = counts.withColumn("start", F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select("shard", "bucket", F.coalesce("start", F.lit(0)).alias("start"))

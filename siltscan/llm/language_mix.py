@@ -1,13 +1,13 @@
 """Language of a document by multilingual mixture inference.
 
 Letters are lower-cased, everything else in ASCII becomes a space, and byte trigrams are hashed to buckets.
-Training sums trigram counts per language over all training documents (partial sums per task, then one sum
-per block of buckets). For a document, expectation-maximisation estimates the proportions of the languages
-that mix to its trigrams; nested sets of its likeliest languages are refitted and the set with the best
-penalised likelihood is selected; the largest proportion in that set gives the label.
+Training sums trigram counts per language over all training documents (partial sums per task, then, one row at a
+time, sums of some tasks' blocks of buckets and sums of these). For a document, expectation-maximisation estimates the proportions of the languages
+that mix to its trigrams; nested sets of its likeliest languages, of every size until the penalised likelihood falls, are refitted and
+the set with the best one is selected; the largest proportion in that set gives the label.
 
 Laws for odd input: `und` with score 0 for a null text or one without letters; with no training row at all every text
-is `und`; equal proportions go to the language first in sort order; repeated rows are judged alike; extra columns are ignored.
+is `und`; a row with a null doc_id counts as a training row; a very long text is a batch of its own; an empty table gives an empty result; equal proportions go to the language first in sort order; repeated rows are judged alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from siltscan.llm.common import by_bytes, held_out, table
 
 BUCKETS = 1 << 15
 BLOCK = 1 << 12
+#: Partial sums of a block meet in so many tasks before they meet in one.
+SPREAD = 32
 ROUNDS = 12
-#: Largest language set that is tried.
-MOST_LANGUAGES = 4
 #: Penalty of each further language: half the log of the trigram count, and this share of it (trigrams of a text depend on each other).
 PER_GRAM = 0.01
 TO_SPACE = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
@@ -73,12 +73,17 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             blocks = x.astype(np.int64).reshape(-1, BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(blocks)), pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["lang", "block", "n"])
 
-    def add(key: tuple, tbl: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in tbl.column("n").to_pylist())
-        return pa.table({"lang": pa.array([key[0].as_py()]), "block": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}  # at most the languages' blocks
+        for batch in batches:
+            for lang, block, n in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "block", "n")), strict=True):
+                got = np.frombuffer(n, dtype=np.int64)
+                sums[lang, block] = sums[lang, block] + got if (lang, block) in sums else got
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "block", "n"])
 
     schema = "lang string, block int, n binary"
-    got = docs.select("text", "lang").mapInArrow(count, schema).groupBy("lang", "block").applyInArrow(add, schema).collect()
+    some = docs.select("text", "lang").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+    got = some.repartition("lang", "block", "salt").mapInArrow(add, schema).repartition("lang", "block").mapInArrow(add, schema).collect()  # the languages' blocks
     langs = sorted({r.lang for r in got})
     table_ = np.zeros((len(langs), BUCKETS))
     for r in got:
@@ -114,11 +119,14 @@ def infer(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
     size = np.add.reduceat(n, starts)
     best, best_share = np.full(len(present), -np.inf), share
-    for m in range(1, min(k, MOST_LANGUAGES) + 1):
+    value = best
+    for m in range(1, k + 1):
         some = np.where(rank < m, share + np.float32(1e-6), 0).astype(np.float32)
         some /= some.sum(axis=1, keepdims=True)
         some, ll = _fit(p, n, starts, length, some, 4 if m > 1 else 0)
-        value = ll - m * (0.5 * np.log(size + 1) + PER_GRAM * size)
+        last, value = value, ll - m * (0.5 * np.log(size + 1) + PER_GRAM * size)
+        if not (value > last).any():
+            break
         better = value > best
         best = np.where(better, value, best)
         best_share = np.where(better[:, None], some, best_share)
@@ -145,10 +153,10 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: str = "
 
 
 def op9_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = held_out(F.col("doc_id"), 4, 2)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
+    out = F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False))
     langs, logp = train(docs.where(~out & F.col("lang").isNotNull()).select("text", "lang"))
-    return identify(docs.select("doc_id", "text"), langs, logp).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "languages")
+    return identify(docs.select("doc_id", "text"), langs, logp).select("doc_id", out.alias("held_out"), "lang_pred", "score", "languages")
 
 
 QUERIES = {"op9_language_mix": op9_language_mix}

@@ -8,7 +8,8 @@ line as boilerplate. The share of a document's words that lie on content lines d
 
 Laws for odd input: a null or empty text, or one without words, has zero counts, fails the base rule and is
 not kept; empty lines are not observations; an unlabelled or empty label table leaves the hand-set prior
-weights; repeated rows are judged alike, one result row each; extra columns are ignored.
+weights; a null doc_id is judged and never fitted on; a very long text is one batch (its lines are held together, as its chain is one);
+equal scores of both labels read as content; repeated rows are judged alike, one result row each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict[
             rows = [[x for f in describe(text)[5] for x in f] for text in byte_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality").mapInArrow(lines, "doc_id long, quality int, x array<double>").collect()
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(lines, "doc_id long, quality int, x array<double>").collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.x))
     return fit_crf([(np.array(r.x).reshape(-1, FEATURES), r.quality) for r in got])
 
@@ -232,7 +233,7 @@ def judge(docs: DataFrame, model: dict[str, np.ndarray], carry: str = "doc_id lo
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
 
 

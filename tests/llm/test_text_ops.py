@@ -189,18 +189,78 @@ def test_lm_rare_tokens_and_normalisation(docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "KNOWN", 40)
     m, table = lm_scoring.fit(docs)
     assert {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in lm_scoring.score(docs, m, table).collect()} == want
-    ids, length, _ = lm_scoring.numbers([BASE.encode()], {w: i for i, w in enumerate(m.known)})
-    *_, pc, pt = lm_scoring.predict(m, lm_scoring.features(ids, length), ids)
-    assert np.allclose(pc.sum(axis=1), 1, atol=1e-4) and np.allclose(pt.sum(axis=1), 1, atol=1e-4)
-
-
-def test_lm_learns_order():
-    text = b"a b c d e f g h " * 400
-    m = lm_scoring.start([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h", b" "], np.array([400] * 8 + [1]), 3201, 9)
-    ids, length, _ = lm_scoring.numbers([text], {w: i for i, w in enumerate(m.known)})
-    before = lm_scoring.log10_head(m, lm_scoring.features(ids, length), ids).sum()
-    lm_scoring.train_on(m, iter([[text]] * 20))
-    assert lm_scoring.log10_head(m, lm_scoring.features(ids, length), ids).sum() > 0.5 * before
+    t = lm_scoring.numbers([BASE.encode()], {w: i for i, w in enumerate(m.known)})
+    f = lm_scoring.features(t)
+    for level, (at, node, _) in enumerate(lm_scoring.steps(m, t.index, t.hash)):
+        g = f if at is None else f[at]
+        p = lm_scoring.chances(m, lm_scoring.rows_of(m, g, level, node), level, node)
+        assert len(node) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
+def test_lm_matches_a_plain_model(docs):
+    """Scores by explicit loops over paths, features and branches, from the trained weights; shares of a leaf's tokens and of unseen ones sum to one."""
+    train = docs.where("doc_id % 2 = 1")
+    m, counts = lm_scoring.fit(train)
+    count = {bytes(r.token): r.n for r in counts.collect()}
+    rank = {w: i for i, w in enumerate(m.known)}
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, m, counts).collect()}
+    leaves = lm_scoring.TAILS * lm_scoring.WIDE**m.depth
+
+    def slots(word):
+        i = rank.get(word, -1)
+        if 0 <= i < lm_scoring.DIRECT:
+            return [(0, i >> 4), (i >> 4, i & 15)]
+        leaf = zlib.crc32(word) & (leaves - 1)
+        top = lm_scoring.DIRECT + (leaf >> 4 * m.depth)
+        return [(0, top >> 4), (top >> 4, top & 15), *((leaf >> 4 * (m.depth - d + 1), leaf >> 4 * (m.depth - d) & 15) for d in range(1, m.depth + 1))]
+
+    for i, text in ODD[:8]:
+        words, total = [*(text or "").encode().lower().split(), b" "], 0.0
+        for at, word in enumerate(words):
+            codes = np.array([[zlib.crc32(words[at - k]) if at >= k else lm_scoring.BEGIN for k in (1, 2, 3)]], dtype=np.uint64)[0]
+            one, two, three = (codes[k : k + 1] for k in range(3))
+            f = [lm_scoring.hashed(one, 0), lm_scoring.hashed((one << np.uint64(31)) ^ two, 1), lm_scoring.hashed(two, 2), lm_scoring.hashed(three, 3)]
+            for level, (node, branch) in enumerate(slots(word)):
+                each = len(m.weights[level]) // len(m.bias[level])
+                a, b = (int(lm_scoring.MULTIPLIERS[k]) for k in (0, 2))
+                rows = [((int(x) ^ node * b % 2**64) * a % 2**64) >> (65 - each.bit_length()) if each > 1 else 0 for x in np.concatenate(f)]
+                logits = m.bias[level][node].astype(float) + sum(m.weights[level][node * each + r].astype(float) for r in rows)
+                total += logits[branch] - np.log(np.exp(logits).sum())
+            if len(slots(word)) > 2:
+                total += np.log((count.get(word, 0) + 1) / m.leaf_mass[zlib.crc32(word) & (leaves - 1)])
+        assert math.isclose(got[i], total / np.log(10), rel_tol=1e-4)
+    for leaf in range(0, leaves, 37):
+        own = [w for w in count if rank[w] >= lm_scoring.DIRECT and zlib.crc32(w) & (leaves - 1) == leaf]
+        assert m.leaf_mass[leaf] == sum(count[w] + 1 for w in own) + 1
+
+
+def test_lm_is_the_same_however_rows_lie(spark):
+    """One and eight partitions give the same scores, and held-out texts gain over their token counts."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        words, w = [], int(r.integers(0, 200))
+        for _ in range(80):
+            w = (w * 7 + int(r.integers(0, 3))) % 200
+            words.append(WORDS[w])
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for n in (1, 8):
+        m, counts = lm_scoring.fit(d.where("doc_id % 3 > 0").repartition(n, "doc_id"))
+        scores.append({x.doc_id: (x.score, x.base_score) for x in lm_scoring.score(d, m, counts).collect()})
+    a, b = scores
+    assert all(math.isclose(a[i][0], b[i][0], rel_tol=1e-3) for i in a)
+    held = [i for i in a if i % 3 == 0]
+    assert sum(a[i][0] for i in held) > 0.8 * sum(a[i][1] for i in held)
+
+
+def test_lm_known_tokens_are_bounded_by_a_threshold(spark):
+    counts = spark.createDataFrame([(bytearray(str(i).encode()), 1 + i % 50) for i in range(5000)], "token binary, n long")
+    for most in (10, 100, 700, 4999, 5000, 10**6):
+        n = lm_scoring.threshold(counts, most)
+        assert counts.where(F.col("n") >= n).count() <= most
+    assert lm_scoring.threshold(counts, 5000) == 1
 
 
 def test_pieces_round_trip_and_match_the_library(docs, none):
@@ -253,6 +313,44 @@ def test_reworded_leaks_found_beside_common_words(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(900, 1)}
 
 
+@pytest.mark.parametrize("rate", [0, 0.1, 0.2, 0.3])
+def test_reworded_leaks_are_found_and_clean_left(spark, rate):
+    """Of items with a share of words replaced, 0.9 are found; documents that hold none are left alone."""
+    r = np.random.default_rng(21)
+    items, rows = [], []
+    for i in range(60):
+        words = [WORDS[x] for x in r.integers(0, 300, int(r.integers(20, 60)))]
+        answer = int(r.integers(4, 9))
+        items.append((i, " ".join(words[:-answer]) + ". " + " ".join(words[-answer:]) + "."))
+        new = [f"other{r.integers(0, 10**6)}" if r.random() < rate else w for w in items[-1][1].split()]
+        rows.append((i, prose(80, 1000 + i) + " " + " ".join(new) + " " + prose(80, 2000 + i)))
+        rows.append((100 + i, prose(250, 3000 + i)))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    right = {(i, i) for i, _ in items}
+    assert len(got & right) >= 54 and not got - right
+
+
+def test_short_items_match_word_by_word(spark):
+    items = [(1, "Quarzo vexnim polt."), (2, "zzyzx"), (3, WORDS[0] + " qqq"), (4, "?"), (5, "one two three four five six seven")]
+    rows = [(1, prose(50, 5) + " quarzo VEXNIM, polt " + prose(50, 6)), (2, "quarzo polt vexnim"), (3, "a zzyzx b"), (4, "one two three four five six"), (5, "zero one two three four five six seven eight"), (None, "zzyzx"), (6, "quarzo"), (7, "vexnim polt")]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 2), (5, 5), (None, 2)}
+
+
+def test_leaks_of_every_text_of_an_item(spark, monkeypatch):
+    """Several texts under one id are all sought; counts of terms are the same when they come by a join; long texts go tile by tile."""
+    items = [(1, prose(30, 31)), (1, prose(30, 32)), (2, prose(30, 33))]
+    rows = [(1, prose(200, 34) + " " + items[0][1]), (2, items[1][1] + " " + prose(200, 35)), (3, prose(9000, 36) + " " + items[2][1] + " " + prose(9000, 37))]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (2, 1), (3, 2)}
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(d, b).collect()} == want
+    counts = {bytes(x.term): x.n for x in decontaminate.document_frequencies(d, b).collect()}
+    monkeypatch.setattr(decontaminate, "FEW_TERMS", 0)
+    monkeypatch.setattr(decontaminate, "TILE", 64)
+    assert {bytes(x.term): x.n for x in decontaminate.document_frequencies(d, b).collect()} == counts and counts[b""] == 3
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(d, b, block_items=1).collect()} == want
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
