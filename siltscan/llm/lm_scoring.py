@@ -278,33 +278,56 @@ def update(m: Model, level: int, block: int, sums: np.ndarray, first: bool) -> n
     return stepped(w, sums, np.exp(m.bias[level][(np.arange(at.start, at.start + len(w)) // each)]), first)
 
 
-SUMS = "level int, block int, sums binary"
+SUMS = "level int, block int, rows binary, seen binary, ahead binary"
+WEIGHTS = "level int, block int, weights binary"
+
+
+def packed(values: np.ndarray, short: str) -> bytes:
+    """In two bytes a value where all fit (expected counts then keep three digits), else in four."""
+    return values.astype(short if values.max(initial=0) < 60_000 else "<f4").tobytes()
+
+
+def pack(sums: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The rows of a block that were met, their observed and (in all rounds but the first) expected counts."""
+    met = np.flatnonzero(sums[:, :WIDE].any(axis=1))
+    return met.astype(np.uint8).tobytes(), packed(sums[met, :WIDE], "<u2"), packed(sums[met, WIDE:], "<f2")
+
+
+def unpack(rows: bytes, seen: bytes, ahead: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    met = np.frombuffer(rows, dtype=np.uint8)
+    parts = [np.frombuffer(x, dtype=short if len(x) == 2 * WIDE * len(met) else "<f4").reshape(len(met), WIDE) for x, short in ((seen, "<u2"), (ahead, "<f2"))[: width // WIDE]]
+    return met, np.concatenate(parts, axis=1).astype(np.float64)
 
 
 def one_round(docs: DataFrame, m: Model, first: bool, tasks: int) -> None:
     """A step on these rows; the model's weights change in place."""
     shared = docs.sparkSession.sparkContext.broadcast(m)
-    names, kinds = [c.split()[0] for c in SUMS.split(", ")], (pa.int32(), pa.int32(), pa.binary())
+    width = WIDE if first else 2 * WIDE
 
-    def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=names)
+    def table_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * (len(names) - 2)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (byte_column(b, "text") for b in by_bytes(batches, "text", 1 << 20))
         for level, x in enumerate(gradient(shared.value, texts, first)):
-            yield table_of([(level, b // BLOCK, x[b : b + BLOCK].tobytes()) for b in range(0, len(x), BLOCK) if x[b : b + BLOCK].any()])
+            yield table_of([(level, b // BLOCK, *pack(x[b : b + BLOCK])) for b in range(0, len(x), BLOCK) if x[b : b + BLOCK].any()], SUMS)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         sums: dict[tuple[int, int], np.ndarray] = {}  # at most the model's blocks
         for batch in batches:
-            for level, block, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = np.frombuffer(x, dtype=np.float32).reshape(-1, WIDE if first else 2 * WIDE).astype(np.float64)
-                sums[level, block] = sums[level, block] + got if (level, block) in sums else got
-        yield table_of([(level, b, update(shared.value, level, b, x, first).tobytes()) for (level, b), x in sums.items()])
-
-    got = docs.select("text").coalesce(tasks).mapInArrow(run, SUMS).repartition("level", "block").mapInArrow(step, SUMS).collect()  # the model's blocks
+            for level, block, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (level, block) not in sums:
+                    sums[level, block] = np.zeros((len(m.weights[level][block * BLOCK : (block + 1) * BLOCK]), width))
+                met, got = unpack(*x, width)
+                sums[level, block][met] += got
+        yield table_of([(level, b, update(m, level, b, x, first).tobytes()) for (level, b), x in sums.items()], WEIGHTS)
+
+    got = docs.select("text").coalesce(tasks).mapInArrow(run, SUMS).repartition("level", "block").mapInArrow(step, WEIGHTS).collect()  # the model's blocks
     for r in got:
-        m.weights[r.level][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, dtype=np.float32).reshape(-1, WIDE)
+        m.weights[r.level][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.weights, dtype=np.float32).reshape(-1, WIDE)
     shared.unpersist()
 
 
