@@ -243,7 +243,7 @@ def add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     out[own[first]] += g
 
 
-def gradient(m: Model, batches: Iterator[list[bytes]], first: bool) -> list[np.ndarray]:
+def gradient(m: Model, batches: Iterator[list[bytes]], first: bool) -> Iterator[np.ndarray]:
     """For each step, (rows, 2 * WIDE): observed counts of the branches, and in all rounds but the first the expected ones."""
     index = {w: i for i, w in enumerate(m.known[:DIRECT])}
     seen = [np.zeros(w.size, dtype=np.float32) for w in m.weights]
@@ -260,7 +260,9 @@ def gradient(m: Model, batches: Iterator[list[bytes]], first: bool) -> list[np.n
                 np.add.at(seen[level], (rows * np.int32(WIDE) + branch[:, None].astype(np.int32)).ravel(), np.float32(1))
                 if not first:
                     add_rows(ahead[level], rows, chances(m, rows, level, node))
-    return [np.concatenate([s.reshape(-1, WIDE), e], axis=1) if not first else s.reshape(-1, WIDE) for s, e in zip(seen, ahead, strict=True)]
+    while seen:  # a step's sums are let go before the next one's are put together
+        s, e = seen.pop(0).reshape(-1, WIDE), ahead.pop(0)
+        yield s if first else np.concatenate([s, e], axis=1)
 
 
 def stepped(weights: np.ndarray, sums: np.ndarray, shares: np.ndarray, first: bool) -> np.ndarray:
