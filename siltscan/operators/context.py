@@ -22,6 +22,15 @@ class Finding:
     text: str
     start: int
     matched: str
+    raw: bool = False  # a text of one character per byte
+
+    def window(self, before: int, after: int) -> str:
+        """What lies in so many bytes of UTF-8 ahead of the match's start and behind it."""
+        a, b = self.text[max(0, self.start - before) : self.start], self.text[self.start : self.start + after]
+        if not (self.raw or a.isascii() and b.isascii()):
+            a = a.encode("utf-8", "surrogatepass")[-before:].decode("utf-8", "replace") if before else ""
+            b = b.encode("utf-8", "surrogatepass")[:after].decode("utf-8", "replace")
+        return a + b
 
     @property
     def line(self) -> str:
@@ -45,7 +54,7 @@ Condition = Callable[[Finding], bool]
 
 @dataclass(frozen=True)
 class Near:
-    """One of `words` lies in the characters from `before` ahead of the match to `after` past its start (or, not `wanted`, none does)."""
+    """One of `words` lies in the bytes from `before` ahead of the match to `after` past its start (or, not `wanted`, none does)."""
 
     before: int
     after: int
@@ -53,7 +62,7 @@ class Near:
     wanted: bool = True
 
     def __call__(self, f: Finding) -> bool:
-        around = f.text[max(0, f.start - self.before) : f.start + self.after]
+        around = f.window(self.before, self.after)
         return any(w in around for w in self.words) == self.wanted
 
 
@@ -123,8 +132,7 @@ def not_json_data(f: Finding) -> bool:
     """Not inside a JSON string value of a data document: the nearest unescaped quote before the match, at most 8 KiB back, follows a colon."""
     if extension(f.path) not in DATA:
         return True
-    base = max(0, f.start - 8192)
-    back = f.text[base : f.start]
+    back = f.window(8192, 0)
     at = len(back)
     while (at := back.rfind('"', 0, at)) >= 0:
         if (at - len(back[:at].rstrip("\\"))) % 2 == 0:
@@ -176,7 +184,7 @@ def hides_sensitive(f: Finding) -> bool:
 
 def fetch_runs(f: Finding) -> bool:
     inside = not Folders(("vendor", "vendor-prefixed"), ("revslider", "googlefonts", "google-fonts"))(f)
-    return not inside or "eval" in f.text[f.start : f.start + 500]
+    return not inside or "eval" in f.window(0, 500)
 
 
 def plain_control_bytes(f: Finding) -> bool:
@@ -192,7 +200,7 @@ def runs(kind: str) -> Condition:
 
 
 def keylogger(f: Finding) -> bool:
-    after = f.text[f.start : f.start + 500]
+    after = f.window(0, 500)
     if any(w in after for w in KEYLOG):
         return True
     takes = "String.fromCharCode" in after or ("event.key" in after and "+=" in after)
@@ -308,12 +316,13 @@ def kept(code: str, finding: Finding) -> bool:
 
 
 def near_column(near: Near, text: Column, start: Column) -> Column:
-    """A Near condition over columns; `start` counts characters from 0."""
-    begin = F.greatest(start - near.before, F.lit(0))
-    around = F.substring(text, begin + 1, start + near.after - begin)
-    hit = around.contains(near.words[0])
+    """A Near condition over columns, in bytes; `start` counts characters from 0."""
+    at = F.octet_length(F.substring(text, F.lit(1), start)).cast("int")
+    begin = F.greatest(at - near.before, F.lit(0))
+    around = F.substring(F.encode(text, "UTF-8"), begin + 1, at + near.after - begin)
+    hit = F.contains(around, F.lit(near.words[0].encode()))
     for w in near.words[1:]:
-        hit = hit | around.contains(w)
+        hit = hit | F.contains(around, F.lit(w.encode()))
     return hit if near.wanted else ~hit
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from siltscan.operators.context import SENSITIVE
 
 # Bounds.
-DEPTH, VALUE, TERMS, ARGUMENTS, MOST = 12, 8192, 256, 8, 20
+DEPTH, VALUE, TERMS, ARGUMENTS, MOST, ITEMS = 12, 8192, 256, 8, 20, 256
 TOKEN = re.compile(r"\s*(?:(\$\w+)|(\w+)\s*\(|('(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(\d+)|(.))", re.DOTALL | re.ASCII)
 ASSIGN = re.compile(r"\$(\w+)\s*(\.?=)(?![=>])", re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_]\w{1,63}\Z", re.ASCII)
@@ -32,6 +32,17 @@ class Value:
     pieces: int = 1
     transforms: list[str] = field(default_factory=list)
     variables: bool = False
+    items: list[str] | None = None  # of an array literal; it has no text
+
+
+def implode(args: list[Value]) -> Value | None:
+    """Items of the one array among the arguments, joined by the other one; every item is a piece."""
+    lists, rest = [a for a in args if a.items is not None], [a for a in args if a.items is None]
+    if len(lists) != 1 or len(rest) > 1:
+        return None
+    one, glue = lists[0], rest[0].text if rest else ""
+    text = glue.join(one.items)
+    return Value(text, one.pieces, one.transforms, one.variables) if len(text) <= VALUE else None
 
 
 def literal(raw: str) -> str:
@@ -89,7 +100,7 @@ class Folder:
             if not m or m[5] != "." or self.text[after : after + 1] == "=":
                 break
             more, after = self.term(after, depth)
-            if more is None:
+            if more is None or more.items is not None or total.items is not None:
                 return None, after
             total = Value((total.text + more.text)[:VALUE], total.pieces + more.pieces, total.transforms + more.transforms, total.variables or more.variables)
             at, terms = after, terms + 1
@@ -104,24 +115,27 @@ class Folder:
         if m[4]:
             return Value(m[4]), after
         if m[1]:
+            if re.match(r"\s*[(\[{]", self.text[after : after + 64]):  # called or indexed: not its value
+                return None, after
             known = self.env.get(m[1][1:])
             return (Value(known.text, known.pieces, list(known.transforms), True) if known else None), after
         if m[5] == "(":
             inner, after = self.expression(after, depth + 1)
             m, end = self.token(after)
             return (inner, end) if inner and m and m[5] == ")" else (None, after)
+        if m[5] == "[" or m[2] and m[2].lower() == "array":
+            got, after = self.listed(after, "]" if m[5] else ")", ITEMS, depth)
+            if got is None or any(v.items is not None for v in got):
+                return None, after
+            return Value("", sum(v.pieces for v in got), [t for v in got for t in v.transforms], any(v.variables for v in got), [v.text for v in got]), after
+        if m[2] and m[2].lower() in ("implode", "join"):
+            args, after = self.listed(after, ")", ARGUMENTS, depth)
+            return (implode(args) if args else None), after
         if m[2] and m[2].lower() in FUNCTIONS:
-            name, args = m[2].lower(), []
-            while len(args) < ARGUMENTS:
-                arg, after = self.expression(after, depth + 1)
-                if arg is None:
-                    return None, after
-                args.append(arg)
-                m, after = self.token(after)
-                if not m or m[5] not in (",", ")"):
-                    return None, after
-                if m[5] == ")":
-                    break
+            name = m[2].lower()
+            args, after = self.listed(after, ")", ARGUMENTS, depth)
+            if args is None or any(a.items is not None for a in args):
+                return None, after
             try:
                 out = FUNCTIONS[name](*(a.text for a in args))
             except (TypeError, ValueError):
@@ -131,6 +145,21 @@ class Folder:
             return Value(out[:VALUE], sum(a.pieces for a in args), [t for a in args for t in a.transforms] + [name], any(a.variables for a in args)), after
         return None, after
 
+    def listed(self, at: int, closer: str, most: int, depth: int) -> tuple[list[Value] | None, int]:
+        """Expressions between commas up to the closing bracket; an array may end in a comma."""
+        out: list[Value] = []
+        while True:
+            m, after = self.token(at)
+            if m and m[5] == closer and (not out or closer == "]" or most == ITEMS):
+                return out, after
+            value, after = self.expression(at, depth + 1)
+            m, at = self.token(after)
+            if value is None or len(out) >= most or not m or m[5] not in (",", closer):
+                return None, at
+            out.append(value)
+            if m[5] == closer:
+                return out, at
+
     def assembled(self) -> Iterator[tuple[int, str, Value]]:
         """(offset, variable, value) of every assembled identifier, appends collapsed to the last."""
         held: dict[str, tuple[int, Value]] = {}
@@ -139,7 +168,7 @@ class Folder:
             value, _ = self.expression(m.end())
             if m[2] == "=" and name in held:
                 yield held[name][0], name, held.pop(name)[1]
-            if value is None:
+            if value is None or value.items is not None:
                 self.env.pop(name, None)
                 continue
             if m[2] == ".=":

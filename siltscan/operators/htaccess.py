@@ -66,13 +66,35 @@ def enclosing_selector(text: str, at: int) -> tuple[str, bool] | None:
     return opened[-1] if opened else None
 
 
+#: What RE2 doesn't compile: looking ahead or back, atomic groups, references to groups.
+REFUSED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]")
+SPELT = {True: re.compile(r"(?:[A-Za-z0-9_-]|\\\.)+"), False: re.compile(r"[A-Za-z0-9_.-]+")}
+
+
+def spelt(selector: str, expression: bool) -> tuple[list[str], list[str]]:
+    """Names that a selector writes out, and the extensions that end its alternatives."""
+    names_, endings = [], []
+    for m in SPELT[expression].finditer(selector):
+        name = m[0].replace("\\.", ".").lower() if expression else m[0].lower()
+        if "." not in name:  # a whole name, or an extension of any name
+            names_ += [name, f"x.{name}"]
+            continue
+        names_.append(f"x{name}" if name.startswith(".") else name)
+        if selector[m.end() : m.end() + 1] in ("", "$", ")", "|", '"', "'"):
+            endings += [name.rpartition(".")[2]] if name[-1] != "." else []
+    return names_, endings
+
+
 def selector_class(selector: str, expression: bool) -> str:
-    names = [*PROBES, *(f"x.{w.lower()}" for w in re.findall(r"[A-Za-z0-9_-]+", selector))]
+    """The widest class among the names that a selector reaches; data where nothing bounds it."""
+    names_, endings = spelt(selector, expression)
+    if expression and REFUSED.search(selector):
+        return "data"
     try:
         test = re.compile(selector if expression else glob_to_regex(selector.lower()), re.IGNORECASE)
     except re.error:
         return "data"
-    return widest([name_class(n) for n in names if test.search(n)])
+    return widest([extension_class(e) for e in endings] + [name_class(n) for n in (*PROBES, *names_) if test.search(n)])
 
 
 def executed_class(text: str, at: int) -> str | None:

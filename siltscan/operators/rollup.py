@@ -73,6 +73,44 @@ def asset_folders(members: DataFrame) -> DataFrame:
     return per.where("media > 0 and scripts <= media")
 
 
+#: Reasons that are the scan's own choice; a member left out for another one was meant to be read.
+CHOSEN = ("policy", "excluded")
+
+
+def archive_statistics(members: DataFrame, *keys: str) -> DataFrame:
+    """Totals of containers (by `keys`; none: of all). members (container, member, size, skip_reason, unreadable, truncated): one row a member, a null member for
+    a container that shows none. Sums of sums are right as well, so statistics of parts may be added."""
+    per = members.groupBy("container", *(k for k in keys if k != "container")).agg(
+        F.max("unreadable").cast("long").alias("unreadable"), F.max("truncated").cast("long").alias("truncated"),
+        F.count_if(F.col("member").isNotNull() & F.col("skip_reason").isNull()).alias("members_scanned"),
+        F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.col("size"))), F.lit(0)).alias("bytes_expanded"),
+        F.count("skip_reason").alias("members_skipped"), F.count_if(F.col("skip_reason").isin(*CHOSEN)).alias("chosen"),
+    )
+    sums = [F.count_if(F.col("unreadable") == 0).alias("archives_opened"), F.sum("unreadable").alias("archives_unreadable"), F.sum("truncated").alias("archives_truncated"), *(F.sum(c).alias(c) for c in ("members_scanned", "bytes_expanded", "members_skipped"))]
+    out = per.groupBy(*keys).agg(*sums, F.sum(F.col("members_skipped") - F.col("chosen")).alias("members_unexamined"))
+    return out.withColumn("coverage_incomplete", (F.col("archives_unreadable") > 0) | (F.col("archives_truncated") > 0) | (F.col("members_unexamined") > 0))
+
+
+def skip_phrase(members: DataFrame) -> DataFrame:
+    """By container, members left out by reason, commonest first; ties by name."""
+    n = members.where("skip_reason is not null").groupBy("container", "skip_reason").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "skip_reason", "n")))
+    return n.groupBy("container").agg(F.sum("n").alias("skipped"), F.array_join(F.transform(parts, lambda p: F.concat(p["n"].cast("string"), F.lit(" "), p["skip_reason"])), ", ").alias("phrase"))
+
+
+def index_summary(members: DataFrame, quoted: int = 8) -> DataFrame:
+    """What an index alone shows of a container. members (container, idx, name, php, sql, credential, platform): folders and names that are
+    metadata of another system are left out; of credentials the first `quoted` names are told."""
+    kept = members.where(~F.col("name").endswith("/") & ~F.col("name").rlike(r"(^|/)(__MACOSX/|\._|\.DS_Store$)"))
+    told = F.slice(F.array_sort(F.collect_list(F.when(F.col("credential") & (F.col("place") <= quoted), F.struct("idx", "name")))), 1, quoted)
+    w = Window.partitionBy("container", "credential").orderBy("idx", "name")
+    per = kept.withColumn("place", F.row_number().over(w)).groupBy("container").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if("php").alias("php_entries"), F.count_if("sql").alias("sql_dumps"),
+        F.array_join(F.transform(told, lambda x: x["name"]), ",").alias("credentials"),
+    )
+    return per.join(container_platform(kept.select("container", "platform")).select("container", "platform"), "container", "left")
+
+
 def container_platform(members: DataFrame) -> DataFrame:
     """The commonest platform of a container; the first by name among equals."""
     per = members.where("platform is not null").groupBy("container", "platform").agg(F.count(F.lit(1)).alias("n"))

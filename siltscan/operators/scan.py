@@ -1,6 +1,6 @@
 """The scan: rules over texts -> findings.
 
-One Aho-Corasick pass finds which gate literals a text holds; only the expressions whose gates pass run. Offsets, lines and columns count bytes of the UTF-8 text, as files do; `content_scan` reads binary columns byte for byte.
+One Aho-Corasick pass finds which gate literals a text holds; only the expressions whose gates pass run. Offsets, lines, columns and the windows of filters count bytes of the UTF-8 text, as files do; binary columns are read byte for byte.
 The rule table is part of the task's code (about 30 kB), so a scan has no shuffle and its plan is source -> filter -> MapInArrow.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,18 +101,28 @@ def annotated(finding: context.Finding) -> bool:
     return any(m in around for m in context.MARKERS)
 
 
+def bytes_ahead(text: str) -> np.ndarray:
+    """For every character, the bytes of UTF-8 before it."""
+    point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    width = (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000) + 1
+    return np.concatenate([[0], np.cumsum(width)])
+
+
 def scan_text(p: Plan, path: str, text: str, filters: bool = True, trust: bool = False, raw: bool = False) -> Iterator[tuple]:
     ascii_only = raw or text.isascii()  # a raw text has one character per byte
     lines: list[int] | None = None
+    ahead = None  # bytes ahead of each character
     for code, order, a, b in p.matches(text):
-        found = context.Finding(path, text, a, text[a:b])
+        found = context.Finding(path, text, a, text[a:b], raw)
         if filters and not context.kept(code, found):
             continue
         if lines is None:
             lines = [m.end() for m in re.finditer("\n", text)]
         line = bisect_right(lines, a)
         begin = lines[line - 1] if line else 0
-        offset, col = (a, a - begin) if ascii_only else (len(text[:a].encode()), len(text[begin:a].encode()))
+        if not ascii_only and ahead is None:
+            ahead = bytes_ahead(text)
+        offset, col = (a, a - begin) if ascii_only else (int(ahead[a]), int(ahead[a] - ahead[begin]))
         name, severity = BY_CODE[code]
         marked = trust and annotated(found)
         yield path, code, name, category(code), "low" if marked else severity, severity, "analyzer" if code in ANALYZERS or code in FOLDED else "regex", order, offset, line + 1, col + 1, found.matched[:200], excerpt(text, a), marked

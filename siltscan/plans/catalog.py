@@ -12,6 +12,7 @@ from siltscan.functions.signatures import RULES
 from siltscan.operators import analyzers, context, corpus, decode, folding, gates, names, reports, rollup, scan
 from siltscan.sources import archives, selection, yaml_rules
 
+TEXTS = ("documents", "pages", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -30,7 +31,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer files than there are cores are dealt out first, because one row group is one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores else df
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +174,75 @@ def scan_summary(spark, sf_dir):
     return rollup.exit_code(rollup.summary(files, found))
 
 
+KEPT_HITS = (
+    f"{SELECTED}, {HITS.removeprefix('WITH ').split('), h AS (', 1)[0].replace('t AS (', 't2 AS (')}), h AS ({HITS.split('), h AS (', 1)[1].replace(' FROM t UNION', ' FROM t2 UNION').replace(' FROM t)', ' FROM t2)')}, "
+    "k AS (SELECT f.* FROM f JOIN s USING (path) WHERE s.skip_reason IS NULL), c AS (SELECT path, CAST(sum(n) AS BIGINT) AS matches FROM k GROUP BY 1), "
+    "v2 AS (SELECT s.path, s.skip_reason, coalesce(matches, 0) AS matches FROM s LEFT JOIN c USING (path))"
+)
+
+
+@query(f"{KEPT_HITS} SELECT path, skip_reason, matches, matches > 0 AS hostile_content, FALSE AS hostile_name, skip_reason IS NULL AS examined_fully, matches > 0 OR skip_reason IS NOT NULL AS worth_reporting FROM v2")
+def expression_file_verdicts(spark, sf_dir):
+    """file_verdicts over the rules that are expressions, without context filters."""
+    files = _selected(spark, sf_dir)
+    return rollup.file_verdicts(files.select("path", "skip_reason"), scan.findings(files.where("skip_reason is null"), use=EXPRESSIONS, filters=False))
+
+
+@query(f"{KEPT_HITS}, q AS (SELECT path, '/quarantine/' || ltrim(path, '/') AS target FROM v2 WHERE matches > 0), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) AS n FROM q) SELECT path, CASE WHEN n = 1 THEN target ELSE target || '.' || (n - 1) END AS target FROM r")
+def expression_quarantine_plan(spark, sf_dir):
+    files = _selected(spark, sf_dir)
+    found = scan.findings(files.where("skip_reason is null"), use=EXPRESSIONS, filters=False)
+    return rollup.quarantine_plan(rollup.file_verdicts(files.select("path", "skip_reason"), found), "/quarantine")
+
+
+#: Rules with one expression of fixed words, so that each match's text is found again by its words.
+LONE = tuple(code for code in ("WS001", "WS004", "RCE001", "RCE004", "RCE008", "DRP005", "BD006", "EXP001", "PL005") if code in SINGLE)
+
+
+def _places_sql() -> str:
+    """(path, category, rule_code, line, col): places of the matches of rules with one expression whose every match is told by its first one's text."""
+    parts = [f"SELECT path, '{code}' AS rule_code, text, unnest(list_distinct(regexp_extract_all(text, {_q(p[0][0])}, 0, '{'si' if p[0][1] else 's'}'))) AS m FROM t" for code, _, _, p in RULES if code in LONE]
+    return (
+        f"WITH t AS ({PLANTED}), m AS ({' UNION ALL '.join(parts)}), l AS (SELECT path, rule_code, m, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM m WHERE NOT contains(m, chr(10))), "
+        "h AS (SELECT path, rule_code, line, strlen(left(body, CAST(strpos(body, m) AS BIGINT) - 1)) + 1 AS col FROM l WHERE contains(body, m))"
+    )
+
+
+@query(f"{_places_sql()} SELECT path, rule_code, CAST(line AS BIGINT) AS line, CAST(min(col) AS BIGINT) AS col FROM h GROUP BY 1, 2, 3")
+def expression_first_per_line(spark, sf_dir):
+    """findings_first_per_line over some rules, without context filters."""
+    return rollup.first_per_line(scan.findings(planted(spark, sf_dir), use=LONE, filters=False)).select("path", "rule_code", "line", "col")
+
+
+#: Access files, and what the directive in them makes run: BD019 for data, BD020 for documents, nothing for scripts.
+ACCESS = (
+    ('SetHandler application/x-httpd-php\n', "BD019"),
+    ('ForceType application/x-httpd-php\n', "BD019"),
+    ('<FilesMatch "\\.php$">\n  Require all granted\n</FilesMatch>\nSetHandler application/x-httpd-php\n', "BD019"),
+    ('<FilesMatch "\\.(jpe?g|png)$">\n  SetHandler application/x-httpd-php\n</FilesMatch>\n', "BD019"),
+    ('<Files "avatar.gif">\n  ForceType application/x-httpd-php\n</Files>\n', "BD019"),
+    ('<Files *.mdb>\n  SetHandler application/x-httpd-php\n</Files>\n', "BD019"),
+    ('<Files "index.php">\n  SetHandler application/x-httpd-php\n</Files>\n', None),
+    ('<FilesMatch "^index\\.php$">\n  SetHandler application/x-httpd-php\n</FilesMatch>\n', None),
+    ('<FilesMatch "^page\\.html$">\n  SetHandler application/x-httpd-php\n</FilesMatch>\n', "BD020"),
+    ('<FilesMatch "\\.(html|alfa)$">\n  SetHandler application/x-httpd-php\n</FilesMatch>\n', "BD019"),
+    ('<FilesMatch "^(index\\.php|avatar_[0-9]+\\.jpg)$">\n  SetHandler application/x-httpd-php\n</FilesMatch>\n', "BD019"),
+    ('<FilesMatch "(?<=avatar)\\.php$">\n  SetHandler application/x-httpd-php\n</FilesMatch>\n', "BD019"),
+    ('AddType application/x-httpd-php .php .phtml\n', None),
+    ('AddType application/x-httpd-php .html\n', "BD020"),
+    ('AddHandler application/x-httpd-php .jpg\n', "BD019"),
+)
+
+
+@query(f"SELECT concat('/srv/', source, '/d', doc_id, '/.htaccess') AS path, CASE doc_id % {len(ACCESS)} " + " ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(ACCESS) if code) + " END AS rule_code FROM documents")
+def access_file_handlers(spark, sf_dir):
+    """What directives of access files make run, one file a document."""
+    body = F.element_at(F.array(*(F.lit(t) for t, _ in ACCESS)), (F.col("doc_id") % len(ACCESS)).cast("int") + 1)
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/srv/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/.htaccess")).alias("path"), body.alias("text"))
+    found = scan.findings(files, use=("BD019", "BD020")).select("path", "rule_code").distinct()
+    return files.select("path").join(found, "path", "left")
+
+
 @query()
 def file_verdicts(spark, sf_dir):
     files = _selected(spark, sf_dir)
@@ -189,17 +262,18 @@ def location_prior(spark, sf_dir):
 
 
 OPEN = r"file_get_contents\s*\("
-WINDOW = "WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'file_get_contents($f); ' || coalesce(text, '') || ' curl_exec($c)' WHEN 1 THEN coalesce(text, '') || ' file_get_contents ($f); mail($to)' ELSE coalesce(text, '') END AS text FROM documents)"
+FILLER = "CASE doc_id % 4 WHEN 0 THEN repeat('é', 150) WHEN 1 THEN repeat('é', 250) WHEN 2 THEN repeat('語', 130) ELSE '' END"
+WINDOW = f"WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'file_get_contents($f); ' || {FILLER} || left(coalesce(text, ''), CAST(doc_id % 90 AS INT)) || ' curl_exec($c)' WHEN 1 THEN coalesce(text, '') || ' file_get_contents ($f); mail($to)' ELSE coalesce(text, '') || ' file_get_contents($f)' || coalesce(text, '') END AS text FROM documents)"
 
 
 @query(
-    f"{WINDOW}, m AS (SELECT doc_id, text, regexp_extract(text, '{OPEN}') AS m FROM d), p AS (SELECT doc_id, substr(text, strpos(text, m), 400) AS around FROM m WHERE m <> '') SELECT doc_id, "
-    + " OR ".join(f"contains(around, {_q(w)})" for w in context.EXFILTRATION)
-    + " AS kept FROM p"
+    f"{WINDOW}, m AS (SELECT doc_id, text, regexp_extract(text, '{OPEN}') AS m FROM d), p AS (SELECT doc_id, substr(hex(encode(substr(text, strpos(text, m)))), 1, 800) AS around FROM m WHERE m <> '') SELECT doc_id, "
+    + f"regexp_matches(around, '^(?:..)*(?:{'|'.join(w.encode().hex().upper() for w in context.EXFILTRATION)})') AS kept FROM p"
 )
 def context_window_keep(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("file_get_contents($f); "), text, F.lit(" curl_exec($c)"))).when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit(" file_get_contents ($f); mail($to)"))).otherwise(text)
+    some = F.substring(text, F.lit(1), (F.col("doc_id") % 90).cast("int"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("file_get_contents($f); "), F.expr(FILLER), some, F.lit(" curl_exec($c)"))).when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit(" file_get_contents ($f); mail($to)"))).otherwise(F.concat(text, F.lit(" file_get_contents($f)"), text))
     d = table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
     d = d.withColumn("m", F.regexp_extract("text", scan.to_java(OPEN), 0)).where("m <> ''").withColumn("at", F.expr("instr(text, m) - 1"))
     return d.select("doc_id", context.near_column(context.CONDITIONS["BD004"][0], F.col("text"), F.col("at")).alias("kept"))
@@ -253,6 +327,62 @@ def container_verdicts(spark, sf_dir):
     return rollup.container_verdicts(_members(spark, sf_dir)).select("container", "name", "idx", "hostile", "container_hostile", "hostile_members", "members")
 
 
+STATED = (
+    f"WITH m AS ({MEMBERS}), s AS (SELECT container, idx, name AS member, size, CASE CAST(size / 1000 AS BIGINT) % 9 WHEN 0 THEN 'policy' WHEN 1 THEN 'excluded' WHEN 2 THEN 'size' WHEN 3 THEN 'corrupt' END AS skip_reason, "
+    "container LIKE '%77.zip' AS unreadable, container LIKE '%5.zip' AS truncated FROM m)"
+)
+STATISTICS = (
+    ", p AS (SELECT container, max(CAST(unreadable AS INT)) AS u, max(CAST(truncated AS INT)) AS t, count(*) FILTER (WHERE skip_reason IS NULL) AS scanned, coalesce(sum(size) FILTER (WHERE skip_reason IS NULL), 0) AS bytes, "
+    "count(skip_reason) AS skipped, count(*) FILTER (WHERE skip_reason IN ('size', 'corrupt')) AS unexamined FROM s GROUP BY 1)"
+)
+
+
+def _stated(spark, sf_dir):
+    return spark.sql(STATED.replace("AS VARCHAR", "AS STRING").replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM s", lineitem=table(spark, sf_dir, "lineitem"))
+
+
+@query(
+    f"{STATED}{STATISTICS} SELECT container, CAST(1 - u AS BIGINT) AS archives_opened, CAST(u AS BIGINT) AS archives_unreadable, CAST(t AS BIGINT) AS archives_truncated, scanned AS members_scanned, CAST(bytes AS BIGINT) AS bytes_expanded, skipped AS members_skipped, "
+    "unexamined AS members_unexamined, u > 0 OR t > 0 OR unexamined > 0 AS coverage_incomplete FROM p"
+)
+def archive_statistics(spark, sf_dir):
+    return rollup.archive_statistics(_stated(spark, sf_dir), "container")
+
+
+@query(
+    f"{STATED}{STATISTICS} SELECT count(*) FILTER (WHERE u = 0) AS archives_opened, CAST(sum(u) AS BIGINT) AS archives_unreadable, CAST(sum(t) AS BIGINT) AS archives_truncated, CAST(sum(scanned) AS BIGINT) AS members_scanned, CAST(sum(bytes) AS BIGINT) AS bytes_expanded, "
+    "CAST(sum(skipped) AS BIGINT) AS members_skipped, CAST(sum(unexamined) AS BIGINT) AS members_unexamined, sum(u) > 0 OR sum(t) > 0 OR sum(unexamined) > 0 AS coverage_incomplete FROM p"
+)
+def archive_totals(spark, sf_dir):
+    return rollup.archive_statistics(_stated(spark, sf_dir))
+
+
+@query(
+    f"{STATED}, n AS (SELECT container, skip_reason, count(*) AS n FROM s WHERE skip_reason IS NOT NULL GROUP BY 1, 2) "
+    "SELECT container, CAST(sum(n) AS BIGINT) AS skipped, string_agg(n || ' ' || skip_reason, ', ' ORDER BY n DESC, skip_reason) AS phrase FROM n GROUP BY 1"
+)
+def archive_skip_phrases(spark, sf_dir):
+    return rollup.skip_phrase(_stated(spark, sf_dir))
+
+
+INDEXED = (
+    f"WITH m AS ({MEMBERS}), x AS (SELECT container, idx, CASE idx % 7 WHEN 6 THEN '__MACOSX/' || name WHEN 5 THEN 'src/' WHEN 4 THEN 'wp-config.php' ELSE name END AS name FROM m), "
+    "i AS (SELECT container, idx, name, name LIKE '%.php' AS php, name LIKE '%.sql' AS sql, name = 'wp-config.php' OR name LIKE 'uploads/%.sql' AS credential, CASE WHEN name LIKE 'wp-%' OR name LIKE 'uploads/%' THEN 'wordpress' WHEN name LIKE 'img/%' THEN 'joomla' END AS platform FROM x)"
+)
+
+
+@query(
+    f"{INDEXED}, k AS (SELECT * FROM i WHERE NOT ends_with(name, '/') AND NOT starts_with(name, '__MACOSX/')), "
+    "c AS (SELECT container, name, idx, row_number() OVER (PARTITION BY container ORDER BY idx, name) AS r FROM k WHERE credential), t AS (SELECT container, string_agg(name, ',' ORDER BY idx, name) AS credentials FROM c WHERE r <= 8 GROUP BY 1), "
+    "p AS (SELECT container, platform FROM (SELECT container, platform, count(*) AS n FROM k WHERE platform IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY container ORDER BY n DESC, platform) = 1), "
+    "g AS (SELECT container, count(*) AS entries, count(*) FILTER (WHERE php) AS php_entries, count(*) FILTER (WHERE sql) AS sql_dumps FROM k GROUP BY 1) "
+    "SELECT container, entries, php_entries, sql_dumps, coalesce(credentials, '') AS credentials, platform FROM g LEFT JOIN t USING (container) LEFT JOIN p USING (container)"
+)
+def archive_index_summary(spark, sf_dir):
+    frame = spark.sql(INDEXED.replace("AS VARCHAR", "AS STRING").replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM i", lineitem=table(spark, sf_dir, "lineitem"))
+    return rollup.index_summary(frame)
+
+
 CLASSED = (
     f"WITH m AS ({MEMBERS}), c AS (SELECT *, CASE WHEN name LIKE '%.php' AND (name LIKE 'uploads/%' OR name LIKE 'img/%') THEN 'hot_script' WHEN name LIKE '%.php' OR name LIKE '%.sql' OR name LIKE '%.js' THEN 'script' "
     "WHEN name LIKE '%.html' THEN 'markup' WHEN name LIKE '%.png' THEN 'media' ELSE 'other' END AS kind FROM m)"

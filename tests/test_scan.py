@@ -117,6 +117,33 @@ def test_folding():
     assert folding.dynamically_called("$a($x)", "a") and not folding.dynamically_called("new $a($x)", "a")
 
 
+@pytest.mark.parametrize(("code", "value"), [
+    ('$i = implode("", array("sy","st","em"));', "system"), ('$j = join("", ["ev", "al",]);', "eval"), ('$k = implode(array("as", "sert"), "");', "assert"), ('$l = implode(array("e", "xec"));', "exec"),
+    ('$m = implode("", $x);', None), ('$n = "a" . array("b", "c");', None), ('$o = strrev(array("a", "b"));', None), ('$p = "pass" . $q("thru");', None), ('$r = implode("", array(array("a"), "b"));', None),
+])
+def test_array_folding(code, value):
+    assert [v.text for _, _, v in folding.Folder(code).assembled()] == ([value] if value else [])
+
+
+def test_windows_count_bytes():
+    """A signal within so many characters but not bytes is out of reach; raw texts have one character per byte."""
+    near = context.CONDITIONS["BD004"][0]
+    for filler, kept in (("é" * 150, True), ("é" * 250, False), ("語" * 120, True), ("語" * 140, False), ("a" * 370, True), ("a" * 400, False)):
+        text = "é" * 90 + "file_get_contents($f)" + filler + "mail($x)"
+        assert near(context.Finding("a.php", text, 90, "")) == kept
+        raw = text.encode().decode("latin-1")
+        assert near(context.Finding("a.php", raw, 180, "", raw=True)) == kept
+    before = context.CONDITIONS["BD008"][0]
+    for filler, kept in (("é" * 190, True), ("é" * 200, False)):
+        text = "AddType " + filler + "x"
+        assert before(context.Finding("a.php", text, len(text) - 1, "")) == kept
+
+
+def test_bytes_ahead():
+    text = "aé語𝔘b"
+    assert scan.bytes_ahead(text).tolist() == [len(text[:i].encode()) for i in range(len(text) + 1)]
+
+
 def test_findings_positions_and_metamorphic_names(spark):
     text = "é\n<?php eval($_POST['x']);\n"
     rows = scan.findings(spark.createDataFrame([("a.php", text), ("b.txt", text), ("c", None), ("d", "")], "path string, text string"), use=("RCE004",)).collect()
