@@ -142,8 +142,8 @@ def markers(rows: DataFrame, cluster: str, text: str = "text", top: int = 25) ->
     inside = tokens.groupBy(cluster, "token").agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("members"))
     total = sizes.agg(F.sum("members").cast("double").alias("total"))  # one row
-    df = inside.groupBy("token").agg(F.sum("n").alias("df"))
-    scored = inside.join(df, "token").join(sizes.crossJoin(F.broadcast(total)), cluster).withColumn("score", F.round(F.col("n") / F.col("members") * F.log(F.col("total") / F.col("df")), 6))
+    counted = inside.withColumn("df", F.sum("n").over(Window.partitionBy("token")))  # a token has one row a cluster
+    scored = counted.join(sizes.crossJoin(F.broadcast(total)), cluster).withColumn("score", F.round(F.col("n") / F.col("members") * F.log(F.col("total") / F.col("df")), 6))
     w = Window.partitionBy(cluster).orderBy(F.desc("score"), "token")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(cluster, "token", "n", "df", "score", "rank")
 

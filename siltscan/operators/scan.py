@@ -61,15 +61,18 @@ class Plan:
         for x in literals:
             self.automaton.add_word(x, x)
         self.automaton.make_automaton()
+        self.passing = lru_cache(maxsize=4096)(self._passing)  # most texts hold the same few literals
         self.analyzers = [c for c in (*FOLDED, *ANALYZERS) if c in codes]
 
+    def _passing(self, held: frozenset[str]) -> tuple[tuple[str, list[re.Pattern]], ...]:
+        """Rules of which a text with these literals passes an expression's gates."""
+        return tuple((code, patterns) for code, patterns, gates in self.rules if any(all(gate & held for gate in g) for g in gates))
+
     def matches(self, text: str) -> Iterator[tuple[str, int, int, int]]:
         """(rule, order, start, end) in the order of rules, expressions and places."""
-        held = {x for _, x in self.automaton.iter(text.lower())} if self.rules else set()
+        held = frozenset(x for _, x in self.automaton.iter(text.lower())) if self.rules else frozenset()
         order = 0
-        for code, patterns, gates in self.rules:
-            if not any(all(gate & held for gate in g) for g in gates):
-                continue
+        for code, patterns in self.passing(held):
             for p in patterns:
                 for m in p.finditer(text):
                     yield code, order, m.start(), m.end()
