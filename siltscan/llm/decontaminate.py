@@ -37,8 +37,10 @@ STEP = 8
 RANK = 96
 OVERSAMPLE = 16
 POWER = 2
-#: Least cosine of a candidate.
-COSINE = 0.8
+#: Least cosine of a candidate; less for items shorter than a window, by the root of their share of one.
+COSINE = 0.77
+#: Words of the passages at the beginning and end of items under two windows.
+EDGE = 12
 #: Least share of an item's words (and their weight) in the common subsequence, and of its answer's; longest span in item lengths.
 SIMILARITY, ANSWER, SPAN = 0.5, 0.3, 1.6
 #: Items of fewer words are matched word by word.
@@ -202,7 +204,12 @@ class Block:
         lengths = np.array([len(w) for _, w, _ in self.items], dtype=np.int64)
         flat = [ids[w] for _, words, _ in self.items for w in words]
         of, start, end = windows(lengths)
-        return of, [flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        rows = [flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        # windows that begin before a short item, or end behind it, hold the item's beginning or end only
+        brief = np.flatnonzero((lengths > EDGE) & (lengths < 2 * WIDTH))
+        at = np.cumsum(lengths) - lengths
+        rows += [flat[a : a + EDGE] for a in at[brief].tolist()] + [flat[b - EDGE : b] for b in (at + lengths)[brief].tolist()]
+        return np.concatenate([of, brief, brief]), rows
 
     def fit(self, spark: SparkSession, n: int, df: dict[bytes, int]) -> None:
         held = np.array([df.get(w, 0) for w in self.terms], dtype=np.int64)
@@ -221,7 +228,9 @@ class Block:
         v = randomised_svd(spark, frame, len(self.terms), min(RANK, max(1, len(self.terms))))
         self.vectors = np.concatenate([np.zeros((1, v.shape[1]), dtype=np.float32), v * self.idf[:, None]])
         latent = np.array([self.vectors[np.array(ids) + 1].sum(axis=0) for ids in rows])
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        # a window around an item of fewer words than a window holds other words as well, which no cosine of it can make up for
+        share = np.sqrt(np.array([min(1.0, self.sizes[k] / WIDTH) for k in self.of]))[:, None]
+        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True) * share, 1e-9)).astype(np.float32)
 
     def project(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Unit vectors of windows; neighbouring windows share pieces of `STRIDE` words."""

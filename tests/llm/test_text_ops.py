@@ -330,6 +330,15 @@ def test_reworded_leaks_are_found_and_clean_left(spark, rate):
     assert len(got & right) >= 54 and not got - right
 
 
+@pytest.mark.parametrize("length", [8, 11, 15, 17, 22, 30])
+def test_verbatim_items_are_found_at_any_place(spark, length):
+    """Wherever windows lie, an item among other words is found."""
+    items = [(i, prose(length, 5000 + i)) for i in range(40)]
+    rows = [(i, prose(20 + i, 6000 + i) + " " + t + " " + prose(90, 7000 + i)) for i, t in items]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & {(i, i) for i, _ in items}) >= (39 if length > 10 else 37) and len(got) <= 40
+
+
 def test_short_items_match_word_by_word(spark):
     items = [(1, "Quarzo vexnim polt."), (2, "zzyzx"), (3, WORDS[0] + " qqq"), (4, "?"), (5, "one two three four five six seven")]
     rows = [(1, prose(50, 5) + " quarzo VEXNIM, polt " + prose(50, 6)), (2, "quarzo polt vexnim"), (3, "a zzyzx b"), (4, "one two three four five six"), (5, "zero one two three four five six seven eight"), (None, "zzyzx"), (6, "quarzo"), (7, "vexnim polt")]
