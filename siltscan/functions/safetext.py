@@ -33,3 +33,10 @@ def is_plain(text: Column) -> Column:
 def bytes_hex(text: Column) -> Column:
     """The bytes of a path whose display loses something; null where it doesn't."""
     return F.when(~is_plain(text) | text.contains("\ufffd"), F.lower(F.hex(F.encode(text, "UTF-8"))))
+
+
+def display(text: Column | str) -> Column:
+    r"""`sanitize` as a column: C0, DEL and C1 as \xNN; other texts come as they are."""
+    c = F.col(text) if isinstance(text, str) else text
+    shown = F.transform(F.split(c, ""), lambda x: F.when(is_plain(x), x).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-8"))), "(..)", r"\\x$1")))
+    return F.when(is_plain(c), c).otherwise(F.array_join(shown, ""))

@@ -195,6 +195,18 @@ def expression_quarantine_plan(spark, sf_dir):
     return rollup.quarantine_plan(rollup.file_verdicts(files.select("path", "skip_reason"), found), "/quarantine")
 
 
+@query(
+    f"{KEPT_HITS} SELECT '{{\"interrupted\":false,\"totalFilesScanned\":' || count(*) FILTER (WHERE skip_reason IS NULL) || ',\"totalDirectoriesScanned\":0,\"filesWithMatches\":' || count(*) FILTER (WHERE matches > 0) "
+    "|| ',\"filesWithHostileNames\":0,\"filesSkippedSize\":' || count(*) FILTER (WHERE skip_reason = 'size') || ',\"filesSkipped\":{\"total\":' || count(skip_reason) || ',\"size\":' || count(*) FILTER (WHERE skip_reason = 'size') "
+    "|| ',\"excluded\":' || count(*) FILTER (WHERE skip_reason = 'excluded') || ',\"unreadable\":' || count(*) FILTER (WHERE skip_reason = 'unreadable') || '},\"directoriesUnreadable\":0,\"entriesUnreadable\":0,"
+    "\"directoriesCycleSkipped\":0,\"linksNotFollowed\":0,\"filesQuarantined\":' || count(*) FILTER (WHERE matches > 0) || ',\"filesQuarantineFailed\":0,\"rootsMissing\":[],\"durationMs\":0}' AS summary FROM v2"
+)
+def expression_report_summary(spark, sf_dir):
+    files = _selected(spark, sf_dir)
+    verdicts = rollup.file_verdicts(files.select("path", "skip_reason"), scan.findings(files.where("skip_reason is null"), use=EXPRESSIONS, filters=False))
+    return reports.json_summary(verdicts, rollup.quarantine_plan(verdicts, "/quarantine"))
+
+
 #: Rules with one expression of fixed words, so that each match's text is found again by its words.
 LONE = tuple(code for code in ("WS001", "WS004", "RCE001", "RCE004", "RCE008", "DRP005", "BD006", "EXP001", "PL005") if code in SINGLE)
 

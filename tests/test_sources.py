@@ -3,6 +3,7 @@
 import base64
 import gzip
 import io
+import json
 import os
 import tarfile
 import zipfile
@@ -119,3 +120,25 @@ def test_reports_keep_rows_without_matches(spark):
 def test_quarantine_targets_never_meet(spark):
     v = spark.createDataFrame([("/x", True, False), ("x", True, False), ("y", False, False)], "path string, hostile_content boolean, hostile_name boolean")
     assert {r.path: r.target for r in rollup.quarantine_plan(v, "/q").collect()} == {"/x": "/q/x", "x": "/q/x.1"}
+
+
+def test_json_document(spark):
+    """The lines are one JSON document: records by path, the counts, and bytes only of paths that aren't shown as they are."""
+    listing = spark.createDataFrame([("a", None), ("b\x01\u0085", "size"), ("c", None), ("d", None)], "path string, skip_reason string")
+    found = scan.findings(spark.createDataFrame([("a", "eval($_POST['x']);"), ("d", "eval($_POST['y']);")], "path string, text string"), use=("RCE004",))
+    verdicts = rollup.file_verdicts(listing, found)
+    plan = rollup.quarantine_plan(verdicts, "/q")
+    members = spark.createDataFrame([("z", "m", 5, None, False, False), ("z", "n", 7, "ratio", False, True)], "container string, member string, size long, skip_reason string, unreadable boolean, truncated boolean")
+    records = reports.json_records(verdicts, found, plan)
+    lines = [r.line for r in reports.json_document(records, reports.json_summary(verdicts, plan, members, {"linksNotFollowed": 3}, 4, ("/gone",))).collect()]
+    doc = json.loads("\n".join(lines))
+    assert [f["path"] for f in doc["files"]] == ["a", "b\\x01\\xc2\\x85", "d"]
+    a, b, _ = doc["files"]
+    assert (a["quarantinePath"], a["quarantined"], a["skipped"]) == ("/q/a", True, False) and not {"skipReason", "pathBytesHex"} & set(a)
+    assert set(a["matches"][0]) == {"rule", "severity", "category", "line", "column"}
+    assert b == {"path": "b\\x01\\xc2\\x85", "pathBytesHex": "6201c285", "skipped": True, "skipReason": "size", "quarantined": False, "matches": []}
+    assert (doc["totalFilesScanned"], doc["filesWithMatches"], doc["filesSkipped"], doc["filesQuarantined"]) == (3, 2, {"total": 1, "size": 1, "excluded": 0, "unreadable": 0}, 2)
+    assert doc["archives"]["stoppedEarly"] == 1 and doc["archives"]["membersSkipped"]["ratio"] == 1 and doc["rootsMissing"] == ["/gone"] and doc["linksNotFollowed"] == 3
+    none = reports.json_document(records.limit(0), reports.json_summary(verdicts.limit(0), members=members.limit(0)))
+    empty = json.loads("\n".join(r.line for r in none.collect()))
+    assert empty["files"] == [] and empty["totalFilesScanned"] == 0 and "archives" not in empty
