@@ -42,7 +42,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def json_records(verdicts: DataFrame, found: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """One JSON record per reported file, its matches in report order; none: an empty list. plan (path, target): where files were moved to.
 
-    Keys that would say nothing are left out: bytes of a path that is shown as it is, a reason, a target, the severity of a finding that wasn't lowered."""
+    Keys that would say nothing are left out: bytes of a path that is shown as it is, a reason, a target, the severity of a finding that wasn't lowered. As nothing is moved,
+    there is no `quarantineFailed`, and members of containers get no `containerQuarantine`."""
     lowered = F.col("suppressed")
     match = F.struct(
         "ord", F.col("rule_code").alias("rule"), "severity", F.when(lowered, F.col("original_severity")).alias("originalSeverity"), F.when(lowered, lowered).alias("suppressed"),
