@@ -161,6 +161,19 @@ def test_near_copies_share_shingles(spark, tmp_path, monkeypatch, most):
     assert sorted(x for x in got if x is not None) == sorted(want | {90}) and got.count(None) == 1
 
 
+def test_near_copies_by_fingerprints(spark, tmp_path, monkeypatch):
+    """Op4's links alone find near copies within 3 bits; of texts with like fingerprints those that share few shingles both stay."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "keys", lambda found: np.zeros(0, dtype=np.int64))
+    base, often = prose(600, 500).split(), (prose(11, 501) + " ") * 60
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "new"])), (3, prose(600, 502)), (4, often + prose(40, 503)), (5, often + prose(40, 504))]
+    prints = [brute_print(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 and (prints[3] ^ prints[4]).bit_count() <= 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, d, str(tmp_path)).collect()) == [1, 3, 4, 5]
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(chain).collect()}
