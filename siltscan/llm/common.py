@@ -43,17 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders written by this process and not deleted yet.
 _written: dict[str, SparkSession] = {}
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, the engine deletes a query's shuffle files when the query ends, not when the driver next collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, and losing an executor loses nothing.
 
-    The folder is deleted by `drop`, by `Scratch` or when the process ends."""
+    Shuffle files of the write are deleted at its end, as nothing reads them again. The folder is deleted by `drop`, by `Scratch` or when the process ends."""
     path = f"{shared_dir(df.sparkSession)}/siltscan-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with _cleaning(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _written[path] = df.sparkSession
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path

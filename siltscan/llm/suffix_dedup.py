@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltscan.llm.common import by_bytes, byte_column, materialise, table
+from siltscan.llm.common import Scratch, by_bytes, byte_column, drop, materialise, table
 
 SPAN = 200
 GRAM = 32
@@ -310,19 +310,21 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> rows (doc_id, key, n_bytes, whole, sha) and, for texts in part removed, (key, text, marks)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("sha", F.sha2("text", 256)).withColumn("key", key_of("sha"))
-    rows = materialise(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "sha"))
-    copies = materialise(rows.where(f"n_bytes >= {SPAN}").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.lit(True).alias("whole")))
-    rows = materialise(rows.join(copies, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+    named = materialise(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "sha"))
+    copies = materialise(named.where(f"n_bytes >= {SPAN}").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", F.lit(True).alias("whole")))
+    rows = materialise(named.join(copies, "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+    drop(named, copies)
 
     seen = materialise(docs.select("key", "text").where(f"octet_length(text) >= {SPAN}").mapInArrow(_scan, "h long, key binary, times int"))
     twice = materialise(seen.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
     some = materialise(seen.join(twice, "h").groupBy("h", "key").agg(F.max("times").alias("times")))  # copies say the same
+    drop(seen, twice)
     twice = materialise(some.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
     wanted = some.join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hashes"))
-    # of copies only those with the least id are sent on
-    first = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first")
-    wanted = wanted.join(rows.select("key", first).groupBy("key").agg(F.min("first").alias("first")), "key")
-    touched = materialise(docs.select("key", first, "text").join(wanted, ["key", "first"]).dropDuplicates(["key"]))
+    # tasks make their copies one before texts are dealt, which happens once: the join is by the same key
+    texts = docs.select("key", "text").where(f"octet_length(text) >= {SPAN}").dropDuplicates(["key"])
+    touched = materialise(texts.join(wanted, "key"))
+    drop(some, twice)
 
     placed = materialise(touched.select("key", "text", "hashes").mapInArrow(_contexts, CONTEXT).withColumn("digest", F.xxhash64("context", "low")))
     distinct = placed.groupBy("h", "high", "low", "digest", "context").agg(F.sum(F.size("places")).cast("long").alias("times"))
@@ -364,7 +366,6 @@ def _cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def removed(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, partly = spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
@@ -375,8 +376,11 @@ def removed(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True))], names=["key", "r", "s", "k"])
 
-    found = partly.select("key", "text", "marks").mapInArrow(run, "key binary, r long, s long, k string")
-    out = rows.join(materialise(found), "key", "left")
+    with Scratch() as inner:
+        rows, partly = spans(docs)
+        found = materialise(partly.select("key", "text", "marks").mapInArrow(run, "key binary, r long, s long, k string"))
+        inner.keep(rows, found)
+    out = rows.join(found, "key", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id", "n_bytes",
@@ -388,7 +392,6 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with repeated strings cut from `text`; spans shrink to whole characters."""
-    rows, partly = spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 4 << 20):
@@ -404,9 +407,12 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                 out.append(_cut(text, gone).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "cut"])
 
-    cut = partly.select("key", "text", "marks").mapInArrow(run, "key binary, cut string")
-    whole = rows.where("whole").select("key", F.lit("").alias("cut")).distinct()
-    new = materialise(cut.join(whole.select("key"), "key", "left_anti").unionByName(whole))
+    with Scratch() as inner:
+        rows, partly = spans(docs)
+        cut = partly.select("key", "text", "marks").mapInArrow(run, "key binary, cut string")
+        whole = rows.where("whole").select("key", F.lit("").alias("cut")).distinct()
+        new = materialise(cut.join(whole.select("key"), "key", "left_anti").unionByName(whole))
+        inner.keep(new)
     own = docs.columns
     text = own.index("text")
     out = docs.toDF(*[f"c{i}" for i in range(len(own))])  # no name of the caller's meets one of ours

@@ -297,3 +297,18 @@ def test_shared_folder(spark, monkeypatch):
         common.shared_dir(Session)
     Unset.master = "local[4]"
     assert common.shared_dir(Session).startswith("file://")
+
+
+def test_op2_lets_go_of_what_it_has_read(spark):
+    """Shuffle files go when the table made of them is written, tables when the next ones are: of op2's only those of the result stay."""
+    from siltscan.llm import common, suffix_dedup
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, prose(60, i // 2) + " " + prose(60, 900)) for i in range(12)], "doc_id long, text string")
+    tables, files = set(common._written), shuffled()
+    out = suffix_dedup.removed(docs)
+    assert len(set(common._written) - tables) == 2 and not shuffled() - files
+    assert out.where("n_removed = n_bytes").count() == 12
