@@ -190,6 +190,28 @@ def runs_of(code: np.ndarray, doc: np.ndarray, item: list[int]) -> np.ndarray:
     return at[doc[at] == doc[at + len(item) - 1]]
 
 
+def holding(code: np.ndarray, weight: np.ndarray, low: np.ndarray, top: np.ndarray, cap: int, least: float) -> np.ndarray:
+    """Whether a span of `cap` words inside each stretch [low, top) of words holds the weight `least`."""
+    width, a, b = int((top - low).max()), int(low.min()), int(top.max())
+    if len(low) * width > b - a:  # they overlap: every span is summed once
+        total = np.concatenate([[0], np.cumsum(weight.take(code[a:b]), dtype=np.float64)])
+        low, top = low - a, top - a
+        good = np.concatenate([[0], np.cumsum(total[cap:] - total[:-cap] >= least)]) if len(total) > cap else np.zeros(1, dtype=np.int64)
+        last = np.maximum(top - cap + 1, low)
+        return np.where(top - low < cap, total[top] - total[low] >= least, good.take(last, mode="clip") > good.take(low, mode="clip"))
+    keep = np.zeros(len(low), dtype=bool)
+    for cut in range(0, len(low), max(1, (1 << 20) // width)):
+        some = slice(cut, cut + max(1, (1 << 20) // width))
+        col = low[some, None] + np.arange(width)
+        held = np.where(col < top[some, None], weight.take(code.take(col, mode="clip")), 0).cumsum(axis=1, dtype=np.float32)
+        if width > cap:
+            most = np.maximum(held[:, cap - 1], (held[:, cap:] - held[:, :-cap]).max(axis=1))
+        else:
+            most = held[:, -1]
+        keep[some] = most >= least
+    return keep
+
+
 class Block:
     """A block of items with their terms, weights and latent passages."""
 
@@ -231,6 +253,16 @@ class Block:
         # a window around an item of fewer words than a window holds other words as well, which no cosine of it can make up for
         share = np.sqrt(np.array([min(1.0, self.sizes[k] / WIDTH) for k in self.of]))[:, None]
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True) * share, 1e-9)).astype(np.float32)
+        # an item's passages lie together, and in one tile
+        order = np.argsort(self.of, kind="stable")
+        self.of, self.latent = self.of[order], self.latent[order]
+        edge = np.append(np.flatnonzero(np.diff(self.of, prepend=-1)), len(self.of))
+        self.tiles: list[np.ndarray] = []
+        a = 0
+        for i in range(1, len(edge)):
+            if i + 1 == len(edge) or edge[i + 1] - edge[a] > TILE:
+                self.tiles.append(edge[a : i + 1])
+                a = i
 
     def project(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Unit vectors of windows; neighbouring windows share pieces of `STRIDE` words."""
@@ -255,16 +287,9 @@ class Block:
         for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
             k = int(item[part[0]])
             mine[self.bags[k]] = self.idf[self.bags[k] - 1]
-            cap, width = int(SPAN * self.sizes[k]) + 1, int((top[part] - low[part]).max())
-            for cut in range(0, len(part), max(1, (1 << 20) // width)):
-                some = part[cut : cut + max(1, (1 << 20) // width)]
-                col = low[some, None] + np.arange(width)
-                held = np.where(col < top[some, None], mine.take(code.take(col, mode="clip")), 0).cumsum(axis=1, dtype=np.float32)
-                if width > cap:
-                    most = np.maximum(held[:, cap - 1], (held[:, cap:] - held[:, :-cap]).max(axis=1))
-                else:
-                    most = held[:, -1]
-                keep[some] = most >= np.float32(0.999 * SIMILARITY) * self.heavy[k]
+            cap, least = int(SPAN * self.sizes[k]) + 1, np.float32(0.999 * SIMILARITY) * self.heavy[k]
+            for some in np.split(part, np.flatnonzero(np.diff(low[part] >> 20)) + 1):
+                keep[some] = holding(code, mine, low[some], top[some], cap, least)
             mine[self.bags[k]] = 0
         return keep
 
@@ -278,15 +303,11 @@ class Block:
         kept: list[tuple[np.ndarray, ...]] = []
 
         def weigh() -> None:
-            """Of what the tiles found, windows and items once each, what may hold the item."""
+            """Of what the tiles found, what may hold the item."""
             w, k, value = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if not len(w):
                 return
-            order = np.lexsort((-value, w, k))
-            w, k, value = w[order], k[order], value[order]
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])]))
-            w, k, value = w[first], k[first], value[first]
             reach = (SPAN * self.sizes[k]).astype(np.int64) + 1
             low, top = np.maximum(start[w] - reach, begin[doc[w]]), np.minimum(end[w] + reach, begin[doc[w] + 1])
             keep = self.promising(code, low, top, k)
@@ -295,11 +316,14 @@ class Block:
         for at in range(0, len(near), TILE):
             some = near[at : at + TILE]
             vec = self.project(code, start[some], end[some])
-            for p in range(0, len(self.latent), TILE):
-                cos = (vec @ self.latent[p : p + TILE].T).ravel()
-                hit = np.flatnonzero(cos >= COSINE)
-                i, j = np.divmod(hit, min(TILE, len(self.latent) - p))
-                held.append((some[i], self.of[p + j], cos[hit]))
+            for edge in self.tiles:
+                cos = self.latent[edge[0] : edge[-1]] @ vec.T
+                best = np.empty((len(edge) - 1, len(some)), dtype=np.float32)  # of each item's passages
+                for own, a, b in zip(best, (edge[:-1] - edge[0]).tolist(), (edge[1:] - edge[0]).tolist(), strict=True):
+                    cos[a:b].max(axis=0, out=own)
+                hit = np.flatnonzero(best >= COSINE)
+                k, i = np.divmod(hit, len(some))
+                held.append((some[i], self.of[edge[k]], best.ravel()[hit]))
                 if sum(len(x[0]) for x in held) > MANY:
                     weigh()
         if held:

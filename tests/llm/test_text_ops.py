@@ -386,6 +386,20 @@ def test_lcs():
         assert decontaminate.lcs(a, b)[0] == plain(a, b)
 
 
+def test_stretches_that_hold_an_item():
+    """Overlapping stretches, summed together, give what a plain sum over each span gives; so do stretches far apart."""
+    r = np.random.default_rng(31)
+    code, weight = r.integers(0, 9, 3000), r.random(9).astype(np.float32)
+    for cap in (5, 40, 90):
+        low = r.integers(0, 2950, 400)
+        top = np.minimum(low + r.integers(1, 80, 400), 3000)
+        sums = [max(float(weight[code[p : min(p + cap, b)]].sum(dtype=float)) for p in range(a, b)) for a, b in zip(low.tolist(), top.tolist(), strict=True)]
+        for least in (0.3 * cap, 0.5 * cap, 0.6 * cap):
+            want = [s >= least for s in sums]
+            assert decontaminate.holding(code, weight, low, top, cap, least).tolist() == want
+            assert [bool(decontaminate.holding(code, weight, low[i : i + 1], top[i : i + 1], cap, least)[0]) for i in range(400)] == want
+
+
 def test_svd_spans_the_rows(spark):
     a = np.random.default_rng(1).standard_normal((60, 5)) @ np.random.default_rng(2).standard_normal((5, 30))
     v = decontaminate.randomised_svd(spark, spark.createDataFrame([(list(range(30)), [float(x) for x in r]) for r in a], "ids array<int>, weights array<float>").repartition(3), 30, 5)
