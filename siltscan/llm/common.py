@@ -60,6 +60,20 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
+#: Share of the driver's largest heap from which its garbage is collected after a write.
+HEAP = 0.5
+
+
+def relieve(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has grown to `HEAP` of what it may be.
+
+    Broadcasts, records of shuffles, buffers and generated classes of ended queries else stay until the heap is full, and the heap never shrinks."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP * heap.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, and losing an executor loses nothing.
 
@@ -69,6 +83,7 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     with _cleaning(df.sparkSession):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _written[path] = df.sparkSession
+    relieve(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

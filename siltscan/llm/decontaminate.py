@@ -171,10 +171,10 @@ def randomised_svd(spark: SparkSession, passages: DataFrame, terms: int, rank: i
                 yield pa.RecordBatch.from_arrays([pa.array(range(terms), pa.int32()), pa.array(list(out), pa.list_(pa.float64()))], names=["term", "y"])
 
         parts = passages.mapInArrow(project, "term int, y array<double>")
-        got = parts.select("term", F.posexplode("y").alias("j", "y")).groupBy("term", "j").agg(F.sum("y").alias("y")).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("j", "y"))).alias("row")).select("term", "row.y").collect()
+        got = parts.select("term", F.posexplode("y").alias("j", "y")).groupBy("term", "j").agg(F.sum("y").alias("y")).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("j", "y"))).alias("row")).select("term", "row.y").toArrow()
         y = np.zeros((terms, size))
-        for r in got:
-            y[r.term] = r.y
+        if got.num_rows:
+            y[got.column("term").to_numpy()] = np.concatenate([c.flatten().to_numpy() for c in got.column("y").chunks]).reshape(-1, size)
         basis.unpersist()
         q = np.linalg.qr(y)[0].astype(np.float32) if terms else y.astype(np.float32)
     return q[:, :rank]

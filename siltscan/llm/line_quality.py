@@ -178,7 +178,7 @@ def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 3, steps: int = 15
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray]:
-    """Fit on at most `fit_docs` labelled documents. Label counts are bounded by that parameter, not by the table."""
+    """Fit on at most `fit_docs` labelled documents, of rows of one id on the least text. What the driver gathers is bounded by that parameter, not by the tables."""
     some = labels.where("quality is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
     low = some.where("quality = 0").orderBy(F.xxhash64("doc_id")).limit(fit_docs // 2)
     high = some.where("quality = 1").orderBy(F.xxhash64("doc_id")).limit(fit_docs // 2)
@@ -186,12 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict[
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[x for f in describe(text)[5] for x in f] for text in byte_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(lines, "doc_id long, quality int, x array<double>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.quality, r.x))
-    return fit_crf([(np.array(r.x).reshape(-1, FEATURES), r.quality) for r in got])
+            rows = [np.array(describe(text)[5], dtype=np.float64).tobytes() for text in byte_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
+
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    met = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min(F.col("quality").cast("int")).alias("quality"))
+    got = met.mapInArrow(lines, "doc_id long, quality int, x binary").collect()  # numbers as bytes: as Python's they take four times as much
+    got.sort(key=lambda r: r.doc_id)
+    return fit_crf([(np.array(memoryview(r.x)).view(np.float64).reshape(-1, FEATURES), r.quality) for r in got])
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"

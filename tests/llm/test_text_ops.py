@@ -161,6 +161,39 @@ def test_near_copies_share_shingles(spark, tmp_path, monkeypatch, most):
     assert sorted(x for x in got if x is not None) == sorted(want | {90}) and got.count(None) == 1
 
 
+def test_driver_garbage_goes_after_writes(spark, monkeypatch):
+    """With a heap grown beyond its share, a write ends with a collection of the driver's garbage; below it nothing is done."""
+    from siltscan.llm import common
+
+    factory = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    monkeypatch.setattr(common, "HEAP", 0.0)
+    before = full()
+    common.drop(common.materialise(spark.range(3)))
+    assert full() > before
+    monkeypatch.setattr(common, "HEAP", 1.0)
+    before = full()
+    common.relieve(spark)
+    assert full() == before
+
+
+def test_line_model_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id don't multiply what the driver gathers and fits on; documents without a line stay."""
+    seen = []
+    monkeypatch.setattr(line_quality, "fit_crf", lambda docs: seen.append(docs))
+    rows = [(i, f"{prose(30, i)}\n{prose(20, 50 + i)}") for i in range(6)] + [(6, None), (7, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    for times in (1, 40):
+        line_quality.train(spark.createDataFrame(rows * times, "doc_id long, text string"), labels)
+    once, often = seen
+    assert len(once) == len(often) == 8 and [q for _, q in often] == [i % 2 for i in range(8)]
+    assert all(np.array_equal(x, y) for (x, _), (y, _) in zip(once, often, strict=True))
+    assert all(np.array_equal(x, np.array(line_quality.describe((t or "").encode())[5]).reshape(-1, line_quality.FEATURES)) for (x, _), (_, t) in zip(once, rows, strict=True))
+
+
 def test_near_copies_by_fingerprints(spark, tmp_path, monkeypatch):
     """Op4's links alone find near copies within 3 bits; of texts with like fingerprints those that share few shingles both stay."""
     import corpus_pipeline
